@@ -1,0 +1,138 @@
+"""Sequential state machines over keys of any size, without gathering a key in one task.
+
+Rows are range-partitioned by (key, order): Spark samples the data and cuts it into partitions of
+equal size, in the middle of a key where one is large. Each task folds its sorted rows as a stream.
+Only the first key of a partition can have begun in an earlier one, and what it needs from there is
+one small state, its *carry*.
+
+1. Every partition is folded once without a carry and reports its first and last key and end state.
+2. Carries are chained from partition to partition. A partition that holds more than one key has an
+   end state that does not depend on its carry. One that lies wholly inside a large key is folded
+   again when its carry turns out to differ from the assumed one; a changed end state goes on to the
+   next partition. Rounds repeat until no carry changes, so the outcome is exact; state machines that
+   forget (windows, caps) settle after a round or two.
+3. A last pass folds every partition with its final carry and returns the rows.
+
+The driver sees one row per partition. The sorted partitions are a reliable checkpoint, so every
+pass reads the same cut and a lost executor costs a re-read, not a re-sort.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tidemark.session import ensure_checkpoint_dir
+
+
+class Fold:
+    """A state machine of one key. ``columns`` are the input columns it reads."""
+
+    columns: Sequence[str] = ()
+    schema: T.StructType = T.StructType()
+
+    def start(self, cols: dict[str, np.ndarray], i: int):
+        """State before the key's first row ``i``."""
+        raise NotImplementedError
+
+    def run(self, cols: dict[str, np.ndarray], lo: int, hi: int, state, out: dict[str, np.ndarray]):
+        """Consume rows ``lo..hi`` of one key, fill ``out`` there, return the state after them."""
+        raise NotImplementedError
+
+    def outputs(self, n: int) -> dict[str, np.ndarray]:
+        dtypes = {"boolean": bool, "int": np.int32, "bigint": np.int64, "double": np.float64}
+        return {f.name: np.zeros(n, dtypes.get(f.dataType.simpleString(), object)) for f in self.schema}
+
+
+def _same(a, b) -> np.ndarray:
+    return np.array(a == b, dtype=bool) | (pd.isna(a) & pd.isna(b))
+
+
+def _runs(cols: dict[str, np.ndarray], keys: Sequence[str], n: int) -> list[tuple[int, int]]:
+    edge = np.zeros(n, bool)
+    edge[0] = True
+    for k in keys:
+        edge[1:] |= ~_same(cols[k][1:], cols[k][:-1])
+    starts = np.flatnonzero(edge)
+    return list(zip(starts, np.append(starts[1:], n)))
+
+
+class _Pass:
+    """One pass over the sorted partitions; a picklable callable for ``mapInPandas``."""
+
+    def __init__(self, fold: Fold, keys: Sequence[str], carries: dict, only: set | None, rows: bool):
+        self.fold, self.keys, self.carries, self.only, self.rows = fold, list(keys), carries, only, rows
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid = TaskContext.get().partitionId()
+        if self.only is not None and pid not in self.only:
+            return
+        first = last = state = None
+        carry = self.carries.get(pid)
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            cols = {c: pdf[c].to_numpy() for c in {*self.keys, *self.fold.columns}}
+            out = self.fold.outputs(n)
+            for lo, hi in _runs(cols, self.keys, n):
+                key = tuple(cols[k][lo] for k in self.keys)
+                if first is None:
+                    first = last = key
+                    state = carry[0] if carry is not None else self.fold.start(cols, lo)
+                elif key != last:
+                    last, state = key, self.fold.start(cols, lo)
+                state = self.fold.run(cols, lo, hi, state, out)
+            if self.rows:
+                for name, values in out.items():
+                    pdf[name] = values
+                yield pdf
+        if not self.rows and first is not None:
+            yield pd.DataFrame({"pid": [pid], "report": [pickle.dumps((first, last, state))]})
+
+
+def _reports(ordered: DataFrame, fold: Fold, keys, carries: dict, only: set | None) -> dict:
+    rows = ordered.mapInPandas(_Pass(fold, keys, carries, only, rows=False),
+                               "pid int, report binary").collect()
+    return {r.pid: pickle.loads(bytes(r.report)) for r in rows}
+
+
+def chain_carries(reports: dict, refold, max_rounds: int | None = None) -> dict:
+    """Final carries from first reports; ``refold(carries, pids)`` folds some partitions again."""
+    carries: dict = {}
+    while True:
+        changed, previous = set(), None
+        for pid in sorted(reports):
+            first, last, _ = reports[pid]
+            wanted = None
+            if previous is not None and reports[previous][1] == first:
+                wanted = (reports[previous][2],)
+            if wanted is not None and carries.get(pid) != wanted:
+                carries[pid] = wanted
+                if first == last:
+                    changed.add(pid)
+            previous = pid
+        if not changed:
+            return carries
+        reports.update(refold(carries, changed))
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
+                 partitions: int | None = None) -> DataFrame:
+    """``df`` with the output columns of ``fold``, each key's rows taken in ``order``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    ordered = df.repartitionByRange(n, *by).sortWithinPartitions(*by).checkpoint()
+    reports = _reports(ordered, fold, keys, {}, None)
+    carries = chain_carries(
+        reports, lambda known, pids: _reports(ordered, fold, keys, known, pids))
+    schema = T.StructType(ordered.schema.fields + fold.schema.fields)
+    return ordered.mapInPandas(_Pass(fold, keys, carries, None, rows=True), schema)
