@@ -5,14 +5,15 @@ Each is written once as a fold and used by both the batch scan and the streaming
 
 from __future__ import annotations
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import is_admin
 from tidemark.functions.threats import threat_type
 from tidemark.functions.time import epoch_micros
-from tidemark.schemas import flat_schema
 from tidemark.operators.ordered_scan import Fold, ordered_scan
+from tidemark.schemas import flat_schema
 
 # Back-off of servers that do not answer, in seconds.
 START_TIMEOUT, MIN_TIMEOUT, MAX_TIMEOUT = 2.0, 0.1, 5.0
@@ -81,9 +82,12 @@ class RateFold(Fold):
 
 
 class AdmissionFold(Fold):
-    """Blocked, then threat, then log, then rate. State: threats seen, blocked?, accepted times."""
+    """Blocked, then threat, then log, then rate. State: threats seen, blocked?, accepted times.
+
+    A row with a ``command`` (``block`` or ``unblock``) is no request: it changes the state.
+    """
 
-    columns = ("now_us", "threat", "blocked0", "is_admin")
+    columns = ("now_us", "threat", "blocked0", "is_admin", "command")
     schema = flat_schema(
         "decision STRING, logged BOOLEAN, threats BIGINT, auto_blocked BOOLEAN, "
         "remaining INT, reset_s INT, retry_s INT")
@@ -94,8 +98,14 @@ class AdmissionFold(Fold):
     def start(self, cols, i):
         return 0, bool(cols["blocked0"][i]), ()
 
-    def step(self, threats: int, blocked: bool, accepted: list, now: int, threat: bool, admin: bool):
+    def step(self, threats: int, blocked: bool, accepted: list, now: int, threat: bool, admin: bool,
+             command: str | None = None):
         """((decision, logged, threats, auto_blocked, remaining, reset, retry), threats, blocked)"""
+        if command == "unblock":
+            return (command, False, 0, False, 0, 0, 0), 0, False
+        if command == "block":
+            decision = "refused" if admin else command
+            return (decision, False, threats, False, 0, 0, 0), threats, not admin
         if blocked:
             return ("blocked", False, threats, False, 0, 0, 0), threats, True
         if threat:
@@ -109,11 +119,12 @@ class AdmissionFold(Fold):
     def run(self, cols, lo, hi, state, out):
         threats, blocked, accepted = state[0], state[1], list(state[2])
         names = [f.name for f in self.schema]
-        hits = np.array([t is not None and t == t for t in cols["threat"][lo:hi]], bool)
+        hits = pd.notna(cols["threat"][lo:hi]).tolist()
+        commands = [c if isinstance(c, str) else None for c in cols["command"][lo:hi]]
         for i in range(lo, hi):
             row, threats, blocked = self.step(
-                threats, blocked, accepted, int(cols["now_us"][i]), bool(hits[i - lo]),
-                bool(cols["is_admin"][i]))
+                threats, blocked, accepted, int(cols["now_us"][i]), hits[i - lo],
+                bool(cols["is_admin"][i]), commands[i - lo])
             for name, value in zip(names, row):
                 out[name][i] = value
         return threats, blocked, tuple(accepted)
@@ -157,17 +168,21 @@ def rate_limit(requests: DataFrame, key: str = "ip", limit: int = MAX_REQUESTS,
     return done.drop("now_us")
 
 
+def admission_input(requests: DataFrame, admins=()) -> DataFrame:
+    """The columns admission reads, added to ``requests(ip, ts, tie, full_path [, command])``."""
+    if "command" not in requests.columns:
+        requests = requests.withColumn("command", F.lit(None).cast("string"))
+    return (requests.withColumn("now_us", epoch_micros(F.col("ts")))
+            .withColumn("threat", threat_type(F.col("full_path")))
+            .withColumn("is_admin", is_admin(F.col("ip"), admins)))
+
+
 def admit(requests: DataFrame, blocked: DataFrame, admins=(), limit: int = MAX_REQUESTS,
           seconds: int = WINDOW_SECONDS, block_at: int = BLOCK_AT,
           partitions: int | None = None) -> DataFrame:
-    """``requests(ip, ts, tie, full_path)`` with the decision on each."""
-    from tidemark.functions.text import is_admin
-
+    """``requests(ip, ts, tie, full_path [, command])`` with the decision on each."""
     marks = blocked.select("ip", F.lit(True).alias("blocked0"))
-    prepared = (requests.withColumn("now_us", epoch_micros(F.col("ts")))
-                .withColumn("threat", threat_type(F.col("full_path")))
-                .withColumn("is_admin", is_admin(F.col("ip"), admins))
-                .join(marks, "ip", "left")
+    prepared = (admission_input(requests, admins).join(marks, "ip", "left")
                 .withColumn("blocked0", F.coalesce("blocked0", F.lit(False))))
     done = ordered_scan(prepared, ["ip"], ["now_us", "tie"],
                         AdmissionFold(limit, seconds, block_at), partitions)

@@ -91,9 +91,10 @@ class Chart:
 
     def map_series(self) -> DataFrame:
         """(bucket, label, kind, share) on the grid, everything not shown as ``Other``."""
-        labelled = rk.label_others(self.map_share(), "map", self.shown_maps())
-        summed = labelled.groupBy("bucket", "label", "kind").agg(F.sum("share").alias("share"))
-        return jn.gap_fill(summed, ["label", "kind"], ["share"], self.start, self.end)
+        labelled = rk.label_others(self.map_avg(), "map", self.shown_maps())
+        summed = labelled.groupBy("bucket", "label", "kind").agg(F.sum("avg_players").alias("avg_players"))
+        # Labels partition the maps, so their averages add up to the same total of a bucket.
+        return jn.gap_fill(ag.map_share(summed), ["label", "kind"], ["share"], self.start, self.end)
 
     def map_ranking(self) -> DataFrame:
         """(label, pop, kind): percent of all contributions; ``Other`` only if positive."""

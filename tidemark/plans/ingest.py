@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import schemas
 from tidemark.functions import text as tx
 from tidemark.functions import time as tm
 from tidemark.operators import aggregates as ag
@@ -79,8 +78,7 @@ def write_samples(store: Store, raw: DataFrame, batch_id: int, ranges: DataFrame
         check_ids(store.insert_ignore(server_rows(prepared), "servers", batch_id))
         snaps = store.read("snaps")
         store.append(fact_rows(prepared, snaps), "facts", batch_id)
-        written = store.spark.read.schema(schemas.FACTS).parquet(
-            f"{store._dir('facts', store._current('facts'))}/batch_id={int(batch_id)}")
+        written = store.read_batch("facts", batch_id)
         store.append(rollup_rows(written, snaps), "rollup_2h", batch_id)
         n_in = prepared.agg(F.count(F.lit(1))).first()[0]
         n_bad = rejected.agg(F.count(F.lit(1))).first()[0]
@@ -94,9 +92,7 @@ def save_names(store: Store, raw: DataFrame, batch_id: int, now: Column) -> None
     """Append names that are new or changed; ``Store.latest`` resolves them."""
     seen = raw.select("ip", tx.to_int(F.col("port")).alias("port"), "name").filter(
         F.col("port").isNotNull()).groupBy("ip", "port").agg(F.max("name").alias("name"))
-    known = store.read("server_names", before_batch=batch_id)
-    from tidemark.operators.windows import latest_per_key
-    changed = fl.changed_names(seen, latest_per_key(known, ["ip", "port"], "updated_at"))
+    changed = fl.changed_names(seen, store.latest("server_names", before_batch=batch_id))
     store.append(changed.withColumn("updated_at", now), "server_names", batch_id)
 
 

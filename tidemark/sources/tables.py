@@ -33,7 +33,7 @@ TABLES: dict[str, tuple[T.StructType, str | None, tuple[str, ...]]] = {
     "blocked_ips": (schemas.BLOCKED_IPS, None, ("ip",)),
 }
 _MARKER = "_READY"
-_BASE_BATCH = -1  # batch id of rows written by a rewrite
+_BASE_BATCH = -1  # batch id of merged rows
 
 
 class Store:
@@ -80,18 +80,24 @@ class Store:
         return 1
 
     # -- reading --------------------------------------------------------------------------------
+    def _read_all(self, table: str) -> DataFrame:
+        full = T.StructType(TABLES[table][0].fields + [T.StructField("batch_id", T.LongType())])
+        return self.spark.read.schema(full).parquet(self._dir(table, self._current(table)))
+
     def read(self, table: str, before_batch: int | None = None) -> DataFrame:
         """Current rows; of batches earlier than ``before_batch`` only, if given."""
-        schema = TABLES[table][0]
-        full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-        df = self.spark.read.schema(full).parquet(self._dir(table, self._current(table)))
+        df = self._read_all(table)
         if before_batch is not None:
             df = df.filter(F.col("batch_id") < before_batch)
-        return df.select(*schema.fieldNames())
+        return df.select(*TABLES[table][0].fieldNames())
+
+    def read_batch(self, table: str, batch_id: int) -> DataFrame:
+        return self._read_all(table).filter(F.col("batch_id") == batch_id).select(
+            *TABLES[table][0].fieldNames())
 
-    def latest(self, table: str) -> DataFrame:
+    def latest(self, table: str, before_batch: int | None = None) -> DataFrame:
         """One row per key, the newest: appended changes are resolved when they are read."""
-        return latest_per_key(self.read(table), TABLES[table][2], "updated_at")
+        return latest_per_key(self.read(table, before_batch), TABLES[table][2], "updated_at")
 
     # -- appending ------------------------------------------------------------------------------
     def append(self, df: DataFrame, table: str, batch_id: int) -> None:
@@ -115,13 +121,13 @@ class Store:
 
     # -- rewriting ------------------------------------------------------------------------------
     def _rewrite(self, df: DataFrame, table: str) -> None:
+        """Write ``df``, with or without ``batch_id``, as the next version."""
         version = self._current(table) + 1
-        part = TABLES[table][1]
-        path = f"{self._dir(table, version)}/batch_id={_BASE_BATCH}"
-        if part:
-            df.hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(path)
-        else:
-            df.hint("rebalance").write.mode("overwrite").parquet(path)
+        if "batch_id" not in df.columns:
+            df = df.withColumn("batch_id", F.lit(_BASE_BATCH))
+        parts = ["batch_id"] + [p for p in (TABLES[table][1],) if p]
+        df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(
+            self._dir(table, version))
         self._publish(table, version)
 
     def upsert(self, df: DataFrame, table: str) -> None:
@@ -139,16 +145,25 @@ class Store:
             df = df.filter(F.col(part) >= cutoff.cast("date"))
         self._rewrite(df.filter(F.col(ts) >= cutoff), table)
 
+    def _newest_batch(self, table: str) -> int:
+        fs, p = self._fs(self._dir(table, self._current(table)))
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return max((int(n[9:]) for n in names if n.startswith("batch_id=")), default=_BASE_BATCH)
+
     def compact(self, table: str) -> None:
-        """Few large files instead of one folder per batch; changes and rollup deltas are merged."""
+        """Few large files instead of one folder per batch; changes and rollup deltas are merged.
+
+        The newest batch keeps its folder, so that it can still be sent again.
+        """
+        newest = self._newest_batch(table)
+        batch = F.when(F.col("batch_id") < newest, _BASE_BATCH).otherwise(F.col("batch_id"))
+        df = self._read_all(table).withColumn("batch_id", batch)
         if table == "rollup_2h":
-            df = self.read(table).groupBy("bucket", "server_id", "map_id", "bucket_date").agg(
-                F.sum("players").alias("players")).select(*schemas.ROLLUP.fieldNames())
+            df = df.groupBy("bucket", "server_id", "map_id", "bucket_date", "batch_id").agg(
+                F.sum("players").alias("players"))
         elif table in ("server_names", "server_cooldowns"):
-            df = self.latest(table)
-        else:
-            df = self.read(table)
-        self._rewrite(df, table)
+            df = latest_per_key(df, [*TABLES[table][2], "batch_id"], "updated_at")
+        self._rewrite(df.select(*TABLES[table][0].fieldNames(), "batch_id"), table)
 
     def compact_all(self) -> None:
         for table in TABLES:
