@@ -62,14 +62,25 @@ ADMISSION_OUT = flat_schema(
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Blocked mark and threat count of a client stay; its accepted times expire when it is idle."""
+    """Blocked mark and threat count of a client stay; its accepted times go once they are old."""
 
-    def __init__(self, fold: st.AdmissionFold, idle_ms: int):
-        self.fold, self.idle_ms = fold, idle_ms
+    def __init__(self, fold: st.AdmissionFold):
+        self.fold = fold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.standing = handle.getValueState("standing", "threats BIGINT, blocked BOOLEAN")
-        self.accepted = handle.getListState("accepted", "us BIGINT", ttlDurationMs=self.idle_ms)
+        self.accepted = handle.getListState("accepted", "us BIGINT")
+
+    def _keep(self, times) -> None:
+        """Store the accepted times; a timer removes them when the watermark has passed the window."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if times:
+            self.accepted.put([(int(t),) for t in times])
+            self.handle.registerTimer(int(times[-1] + self.fold.rate.window) // 1000 + 1)
+        else:
+            self.accepted.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, "now_us", "tie").astype({"command": object, "threat": object})
@@ -83,42 +94,44 @@ class AdmissionProcessor(StatefulProcessor):
         out = self.fold.outputs(len(pdf))
         threats, blocked, kept = self.fold.run(cols, 0, len(pdf), (threats, blocked, times), out)
         self.standing.update((int(threats), bool(blocked)))
-        if kept:
-            self.accepted.put([(int(t),) for t in kept])
-        else:
-            self.accepted.clear()
+        self._keep(kept)
         for name, values in out.items():
             pdf[name] = values
         yield pdf[ADMISSION_OUT.fieldNames()]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def admission_stream(requests: DataFrame, blocked: DataFrame, admins=(), limit: int = st.MAX_REQUESTS,
                      seconds: int = st.WINDOW_SECONDS, block_at: int = st.BLOCK_AT,
-                     idle_ms: int = 3_600_000) -> DataFrame:
+                     lateness: str = "1 day") -> DataFrame:
     """Decisions on ``requests(ip, ts, tie, endpoint, full_path [, command])`` as a stream.
 
-    ``blocked`` is the list at the start; later changes come in as rows with a ``command``.
-    ``idle_ms`` must exceed the window plus the time the stream may lag behind.
+    ``blocked`` is the list at the start; later changes come in as rows with a ``command``. Rows
+    later than ``lateness`` are dropped.
     """
     marks = blocked.select("ip", F.lit(True).alias("blocked0"))
-    keyed = (st.admission_input(requests, admins).join(marks, "ip", "left")
-             .withColumn("blocked0", F.coalesce("blocked0", F.lit(False)))
-             .select("ip", F.col("tie").cast("bigint").alias("tie"), "now_us", "endpoint", "full_path", "threat",
-                     "is_admin", "blocked0", "command"))
+    keyed = (st.admission_input(requests, admins)
+             .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
+             .join(marks, "ip", "left").withColumn("blocked0", F.coalesce("blocked0", F.lit(False)))
+             .select("event_time", "ip", F.col("tie").cast("bigint").alias("tie"), "now_us", "endpoint",
+                     "full_path", "threat", "is_admin", "blocked0", "command"))
     return keyed.groupBy("ip").transformWithStateInPandas(
-        AdmissionProcessor(st.AdmissionFold(limit, seconds, block_at), idle_ms),
-        outputStructType=ADMISSION_OUT, outputMode="Append", timeMode="ProcessingTime")
+        AdmissionProcessor(st.AdmissionFold(limit, seconds, block_at)),
+        outputStructType=ADMISSION_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = st.MAX_REQUESTS,
-                      seconds: int = st.WINDOW_SECONDS, idle_ms: int = 3_600_000) -> DataFrame:
+                      seconds: int = st.WINDOW_SECONDS, lateness: str = "1 day") -> DataFrame:
     """The limiter alone: nobody is blocked and no path is a threat."""
     harmless = requests.withColumn("full_path", F.lit("")).withColumn("endpoint", F.lit(""))
     nobody = requests.sparkSession.createDataFrame([], "ip STRING")
-    return admission_stream(harmless, nobody, (), limit, seconds, idle_ms=idle_ms)
+    return admission_stream(harmless, nobody, (), limit, seconds, lateness=lateness)
 
 
 def store_decisions(store: Store, first_batch: int = 0):
