@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # Protocol codes and their names.
 PLATFORMS = {76: "Linux", 108: "Linux", 109: "Mac OS X", 111: "Mac OS X", 119: "Windows"}
 PLATFORM_CODES = {"linux": 108, "mac os x": 111, "windows": 119}
@@ -128,10 +130,11 @@ def account_from_url(url: Column, universe: int = 0) -> Column:
     w64 = F.regexp_extract(path, p64, 2).try_cast("bigint")
     person = F.regexp_extract(path, p64, 1).isin("profiles", "id")
 
-    def build(w: Column, base: Column, type_: Column) -> Column:
-        y = w.bitwiseAND(F.lit(1))
-        rest = w - y - base
-        return F.when(w.isNotNull(), _account(F.shiftright(rest, 1), y, type_, F.lit(universe)))
+    def build(number: Column, base: Column, type_: Column) -> Column:
+        def parts(w: Column) -> Column:
+            y = w.bitwiseAND(F.lit(1))
+            return F.when(w.isNotNull(), _account(F.shiftright(w - y - base, 1), y, type_, F.lit(universe)))
+        return let(number, parts)
 
     return F.coalesce(
         build(w32, F.lit(0), lookup(F.regexp_extract(path, p32, 2), letters)),

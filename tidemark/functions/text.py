@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,11 +12,18 @@ TOKEN_CHARS = 50
 
 # Java regex flags: i = ignore case, U = Unicode classes and folding, d = only \n ends a line.
 _UNICODE = "(?iU)"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# All characters that count as white space.
+_SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+           + "".join(map(chr, range(0x2000, 0x200B))))
 _CONTROL = r"[\x00-\x1F\x7F-\x9F]"
 _BLOCK_OR_CONTROL = r"[▀-▟\x00-\x1F\x7F-\x9F]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def endpoint(ip: Column, port: Column) -> Column:
     return F.concat_ws(":", ip, port.cast("string"))
 
@@ -36,7 +43,7 @@ def to_int(s: Column, type_: str = "int") -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, _EDGE_SPACE, "")
+    return F.btrim(s, F.lit(_SPACES))
 
 
 def clean_map(s: Column) -> Column:
@@ -67,7 +74,8 @@ def strip_qmark(path: Column) -> Column:
 def percent_decode(s: Column) -> Column:
     """``%41`` to ``A``. A plus stays, a malformed percent sign stays, bad UTF-8 is replaced."""
     plus_kept = F.replace(s, F.lit("+"), F.lit("%2B"))
-    return F.url_decode(F.regexp_replace(plus_kept, "%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.url_decode(F.regexp_replace(plus_kept, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(s.contains("%"), decoded).otherwise(s)
 
 
 def ip_octets(ip: Column) -> Column:
@@ -79,19 +87,20 @@ def is_valid_public_ip(ip: Column) -> Column:
 
     Private ranges and octets above 255 do pass.
     """
-    o = ip_octets(ip)
-    four = (F.size(o) == 4) & F.forall(o, lambda x: x.isNotNull())
-    link_local = (F.get(o, F.lit(0)) == 169) & (F.get(o, F.lit(1)) == 254)
-    loopback = F.get(o, F.lit(0)) == 127
-    zero = F.forall(o, lambda x: x == 0)
-    return F.coalesce(four & ~link_local & ~loopback & ~zero, F.lit(False))
+    def valid(o: Column) -> Column:
+        link_local = (F.get(o, F.lit(0)) == 169) & (F.get(o, F.lit(1)) == 254)
+        loopback = F.get(o, F.lit(0)) == 127
+        return ((F.size(o) == 4) & F.forall(o, lambda x: x.isNotNull()) & ~link_local & ~loopback
+                & F.exists(o, lambda x: x != 0))
+
+    return F.coalesce(let(ip_octets(ip), valid), F.lit(False))
 
 
 def ip_number(ip: Column) -> Column:
     """Dotted IPv4 as a number; null unless four parts of 0..255."""
-    o = ip_octets(ip)
-    ok = (F.size(o) == 4) & F.forall(o, lambda x: x.isNotNull() & x.between(0, 255))
-    return F.when(ok, F.aggregate(o, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x))
+    return let(ip_octets(ip), lambda o: F.when(
+        (F.size(o) == 4) & F.forall(o, lambda x: x.isNotNull() & x.between(0, 255)),
+        F.aggregate(o, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)))
 
 
 def is_admin(ip: Column, admins: Iterable[str]) -> Column:

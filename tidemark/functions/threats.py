@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import percent_decode
+from tidemark.functions.text import let, percent_decode
 
 # Rule patterns and their types, in the order in which they are tried.
 RULES: list[tuple[str, list[str]]] = [
@@ -54,18 +58,39 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 
+# Non-ASCII letters that equal an ASCII one when case is ignored.
+_FOLDED = ("\u017f\u212a\u0131\u0130", "skii")
+_NO_LITERAL = re.compile(r"\([^)]*\)|\[[^\]]*\][*+?]?|\\[bsw][*+?]?|\.[*+?]")
+
+
 def alternation(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def required_literal(pattern: str) -> str:
+    """A text that every match of a rule contains, in lower case: with punctuation if possible, as
+    words are common in paths, and as long as possible."""
+    parts = _NO_LITERAL.sub("\0", pattern).split("\0")
+    texts = [re.sub(r"\\(.)", r"\1", p).lower() for p in parts]
+    return max(texts, key=lambda t: (bool(re.search(r"[^a-z0-9_]", t)), len(t)))
+
+
+def _may_match(folded: Column, patterns: list[str]) -> Column:
+    return reduce(operator.or_, [folded.contains(t) for t in sorted({required_literal(p) for p in patterns})])
+
+
+def _first_hit(decoded: Column, folded: Column) -> Column:
+    return F.coalesce(*[
+        F.when(_may_match(folded, patterns) & decoded.rlike("(?idU)" + alternation(patterns)), F.lit(kind))
+        for kind, patterns in RULES])
+
+
 def threat_type(path: Column) -> Column:
     """Type of the first rule that hits the decoded path; null if none does.
 
-    Rules of one type are adjacent, so one alternation per type keeps the order: 11 scans of the
-    path instead of 62.
+    Rules of one type are adjacent, so one alternation per type keeps the order. A type's regex only
+    runs where a text that one of its rules cannot do without is found: for most paths that is plain
+    substring search. Decoding happens once, however often a filter on the type is moved.
     """
-    decoded = percent_decode(path)
-    return F.when(
-        path != "",
-        F.coalesce(*[F.when(decoded.rlike("(?idU)" + alternation(patterns)), F.lit(kind))
-                     for kind, patterns in RULES]))
+    return let(percent_decode(path), lambda d: let(
+        F.lower(F.translate(d, *_FOLDED)), lambda folded: _first_hit(d, folded)))

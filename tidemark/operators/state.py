@@ -172,8 +172,8 @@ def admission_input(requests: DataFrame, admins=()) -> DataFrame:
     """The columns admission reads, added to ``requests(ip, ts, tie, full_path [, command])``."""
     if "command" not in requests.columns:
         requests = requests.withColumn("command", F.lit(None).cast("string"))
-    return (requests.withColumn("now_us", epoch_micros(F.col("ts")))
-            .withColumn("threat", threat_type(F.col("full_path")))
+    return (requests.withColumn("threat", threat_type(F.col("full_path")))
+            .withColumn("now_us", epoch_micros(F.col("ts")))
             .withColumn("is_admin", is_admin(F.col("ip"), admins)))
 
 

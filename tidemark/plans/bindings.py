@@ -10,13 +10,35 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import time as tm
 from tidemark.plans.star import Star
+from tidemark.schemas import flat_schema
+
+
+# Given, so that opening a table reads no footer and runs no job.
+TABLES = {
+    "nation": flat_schema("n_nationkey INT, n_name STRING, n_regionkey INT"),
+    "customer": flat_schema("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"),
+    "supplier": flat_schema("s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"),
+    "part": flat_schema("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"),
+    "orders": flat_schema("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+                          "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": flat_schema("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                            "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                            "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+    "events": flat_schema("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"),
+    "documents": flat_schema("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"),
+    "pages": flat_schema("page_id BIGINT, url STRING, html STRING"),
+    "conversations": flat_schema("conv_id BIGINT, turn BIGINT, role STRING, text STRING"),
+    "embeddings": T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
+                                T.StructField("label", T.IntegerType())]),
+}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def server_ip(key: Column) -> Column:

@@ -1020,9 +1020,9 @@ def _(spark, sf):
     url = F.concat(F.lit("http://steamcommunity.com/groups/[g:1:"), (key * 2 + key % 2).cast("string"), F.lit("]?l=en"))
     c = b.table(spark, sf, "customer").select("c_custkey", idn.account_from_text(text).alias("a"),
                                               idn.account_from_url(url).alias("g"))
-    back = idn.account_from_url(idn.community_url(F.col("a")))
+    c = c.withColumn("url", idn.community_url(F.col("a"))).withColumn("back", idn.account_from_url(F.col("url")))
     return c.select("c_custkey", idn.steam_id64(F.col("a")).alias("id64"), idn.steam_id32(F.col("a")).alias("id32"),
-                    idn.steam_text(back).alias("text"), idn.steam_id64(F.col("g")).alias("group64"))
+                    idn.steam_text(F.col("back")).alias("text"), idn.steam_id64(F.col("g")).alias("group64"))
 
 
 @query("cvar_rows", """
