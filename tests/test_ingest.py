@@ -156,7 +156,8 @@ def test_request_log_statistics_and_blocks(spark, store):
     assert [r["ip"] for r in stats["ip_breakdown"]] == sorted(f"10.0.0.{i}" for i in range(12))[:10]
     by_ip = {r["ip"]: r for r in stats["ip_breakdown"]}
     assert by_ip["10.0.0.1"]["threat_count"] == 50 and by_ip["10.0.0.1"]["threat_types"] == ["VULN_SCAN"]
-    assert by_ip["10.0.0.1"]["endpoints"] == {"index": 50} and by_ip["10.0.0.1"]["is_blocked"]
+    assert by_ip["10.0.0.1"]["is_blocked"] and by_ip["10.0.0.1"]["threat_detected"]
+    assert [tuple(r) for r in stats["endpoints"].filter("ip = '10.0.0.1'").collect()] == [("10.0.0.1", "index", 50)]
     assert [r["time"] for r in by_ip["10.0.0.0"]["recent_requests"]][0] == "09:48:00" and len(by_ip["10.0.0.0"]["recent_requests"]) == 20
     assert blocks.unblock(["10.0.0.2", "10.0.0.7"]) == ["10.0.0.2"] and blocks.blocked().count() == 1
     empty = request_stats(store.read("request_log"), blocks.blocked(), StatsParams(day="2020-01-01"))

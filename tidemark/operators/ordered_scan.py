@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import ensure_checkpoint_dir
@@ -103,7 +104,7 @@ def _reports(ordered: DataFrame, fold: Fold, keys, carries: dict, only: set | No
     return {r.pid: pickle.loads(bytes(r.report)) for r in rows}
 
 
-def chain_carries(reports: dict, refold, max_rounds: int | None = None) -> dict:
+def chain_carries(reports: dict, refold) -> dict:
     """Final carries from first reports; ``refold(carries, pids)`` folds some partitions again."""
     carries: dict = {}
     while True:
@@ -123,16 +124,30 @@ def chain_carries(reports: dict, refold, max_rounds: int | None = None) -> dict:
         reports.update(refold(carries, changed))
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
+def partition_count(df: DataFrame, keys: Sequence[str], rows_per_partition: int) -> int:
+    """Enough partitions that none is large. AQE does not resize them, as carries go by partition.
+
+    The count reads the key columns only.
+    """
+    rows = df.select(*keys).agg(F.count(F.lit(1))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if rows > 100_000 else 1,
+               -(-rows // rows_per_partition))
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """``df`` with the output columns of ``fold``, each key's rows taken in ``order``."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    n = partitions or partition_count(df, keys, rows_per_partition)
     by = [*keys, *order]
     ordered = df.repartitionByRange(n, *by).sortWithinPartitions(*by).checkpoint()
-    reports = _reports(ordered, fold, keys, {}, None)
-    carries = chain_carries(
-        reports, lambda known, pids: _reports(ordered, fold, keys, known, pids))
+    carries: dict = {}
+    if n > 1:
+        reports = _reports(ordered, fold, keys, {}, None)
+        carries = chain_carries(
+            reports, lambda known, pids: _reports(ordered, fold, keys, known, pids))
     schema = T.StructType(ordered.schema.fields + fold.schema.fields)
     return ordered.mapInPandas(_Pass(fold, keys, carries, None, rows=True), schema)

@@ -54,7 +54,8 @@ def rules_map(pairs: DataFrame, key: str, pos: str, name: str = "name", value: s
               *tie: str) -> DataFrame:
     """One map of rules per server; of a repeated name the last value wins.
 
-    Repeats go before the map is gathered, so a map is as large as its distinct names.
+    Repeats go before the map is gathered. A record counts its rules in two bytes, so a map holds
+    at most 32767 names.
     """
     last = latest_per_key(pairs, [key, name], pos, *tie)
     return last.groupBy(key).agg(

@@ -29,8 +29,15 @@ def check_ids(dim: DataFrame) -> None:
         raise ValueError("two natural keys share a surrogate id")
 
 
-def server_rows(prepared: DataFrame) -> DataFrame:
-    return ag.server_dim(prepared).select(
+def server_rows(prepared: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Distinct endpoints first; the country is looked up for those, not for every sample."""
+    if "country_code" in prepared.columns:
+        dim = ag.server_dim(prepared)
+    else:
+        dim = prepared.select("ip", "port").distinct()
+        dim = (jn.ip_country(dim, ranges) if ranges is not None
+               else dim.withColumn("country_code", F.lit("N/A")))
+    return dim.select(
         key_id(F.col("ip"), F.col("port")).alias("id"), "ip", "port", "country_code")
 
 
@@ -70,12 +77,10 @@ def write_samples(store: Store, raw: DataFrame, batch_id: int, ranges: DataFrame
     Every write goes to this batch's own folder: sending the batch again replaces it.
     """
     prepared, rejected = parse_samples(raw)
-    prepared = (jn.ip_country(prepared, ranges) if ranges is not None
-                else prepared.withColumn("country_code", F.lit("N/A")))
     prepared = prepared.persist()
     try:
         check_ids(store.insert_ignore(map_rows(prepared), "maps", batch_id))
-        check_ids(store.insert_ignore(server_rows(prepared), "servers", batch_id))
+        check_ids(store.insert_ignore(server_rows(prepared, ranges), "servers", batch_id))
         snaps = store.read("snaps")
         store.append(fact_rows(prepared, snaps), "facts", batch_id)
         written = store.read_batch("facts", batch_id)

@@ -15,33 +15,42 @@ from tidemark.params import StatsParams
 from tidemark.sources.tables import Store
 
 
+def _page(day: DataFrame, params: StatsParams) -> DataFrame:
+    """The clients of a page, at most 100, with their requests of the day."""
+    return F.broadcast(rk.page(rq.requests_per_ip(day), [F.col("total_requests").desc(), F.col("ip").asc()],
+                               params.page, params.limit))
+
+
 def request_page(log: DataFrame, blocked: DataFrame, params: StatsParams) -> DataFrame:
-    """One page of clients by requests of the day, each with counts, threats and block mark.
+    """One page of clients by requests of the day, each with its latest 20, threats and block mark.
 
-    Only the at most 100 clients of the page reach the joins.
+    Only the clients of the page reach the joins.
     """
     day = rq.of_day(log, params.target_day())
-    ips = rk.page(rq.requests_per_ip(day), [F.col("total_requests").desc(), F.col("ip").asc()],
-                  params.page, params.limit)
-    on_page = F.broadcast(ips)
-    theirs = day.join(on_page.select("ip"), "ip", "left_semi")
-    endpoints = rq.requests_per_endpoint(theirs).groupBy("ip").agg(
-        F.map_from_entries(F.collect_list(F.struct("endpoint", "requests"))).alias("endpoints"))
+    ips = _page(day, params)
+    theirs = day.join(ips.select("ip"), "ip", "left_semi")
     recent = rq.with_threats(rq.recent_requests(theirs)).groupBy("ip").agg(
         F.array_sort(F.collect_list(F.struct(
             "position", "endpoint", "full_path", F.date_format("timestamp", "HH:mm:ss").alias("time"),
             F.col("threat_type").isNotNull().alias("is_threat"), "threat_type"))).alias("recent_requests"))
-    out = (ips.join(endpoints, "ip", "left").join(recent, "ip", "left")
-           .join(rq.threat_summary(theirs), "ip", "left"))
+    out = ips.join(recent, "ip", "left").join(rq.threat_summary(theirs), "ip", "left")
     return flag_blocked(out, blocked).select(
-        "ip", "total_requests", "endpoints", "recent_requests",
+        "ip", "total_requests", "recent_requests",
         F.coalesce("threat_count", F.lit(0)).alias("threat_count"),
         F.coalesce("threat_types", F.array().cast("array<string>")).alias("threat_types"), "is_blocked"
     ).orderBy(F.col("total_requests").desc(), F.col("ip").asc())
 
 
+def page_endpoints(log: DataFrame, params: StatsParams) -> DataFrame:
+    """(ip, endpoint, requests) of the page's clients. In rows: a client may ask for any number of
+    endpoints, as an unknown path counts as one."""
+    day = rq.of_day(log, params.target_day())
+    return rq.requests_per_endpoint(day.join(_page(day, params).select("ip"), "ip", "left_semi"))
+
+
 def request_stats(log: DataFrame, blocked: DataFrame, params: StatsParams) -> dict:
-    """The statistics page as a dictionary: totals of the day and one page of clients."""
+    """The statistics page: totals of the day and one page of clients, at most 100 with 20 requests
+    each. ``endpoints`` stays a DataFrame, see ``page_endpoints``."""
     day = params.target_day()
     totals = rq.request_totals(rq.of_day(log, day)).first()
     rows = [r.asDict(recursive=True) for r in request_page(log, blocked, params).collect()]
@@ -49,7 +58,8 @@ def request_stats(log: DataFrame, blocked: DataFrame, params: StatsParams) -> di
         r["threat_detected"] = r["threat_count"] > 0
     return {"date": day, "total_requests": totals["total_requests"],
             "unique_ips_today": totals["unique_ips"], "page": params.page, "limit": params.limit,
-            "total_pages": params.total_pages(totals["unique_ips"]), "ip_breakdown": rows}
+            "total_pages": params.total_pages(totals["unique_ips"]), "ip_breakdown": rows,
+            "endpoints": page_endpoints(log, params)}
 
 
 class BlockList:

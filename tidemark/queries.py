@@ -30,7 +30,7 @@ from tidemark.params import ChartParams, StatsParams
 from tidemark.plans import bindings as b
 from tidemark.plans import discovery, ingest, metadata, profile
 from tidemark.plans.chart import Chart
-from tidemark.plans.requests import request_page
+from tidemark.plans.requests import page_endpoints, request_page
 from tidemark.session import apply_semantics
 from tidemark.sources import readers as rd
 from tidemark.sources.tables import insert_ignored, upserted
@@ -768,30 +768,34 @@ def _(spark, sf):
     return rk.page(rq.requests_per_ip(_today(spark, sf)), [F.col("total_requests").desc(), F.col("ip").asc()], 1, 20)
 
 
+_PAGE = """
+page AS (SELECT ip, count(*) AS total_requests FROM today GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 10)"""
+
+
 @query("request_page", sql("""
-SELECT p.ip, p.total_requests, e.endpoints, r.recent, coalesce(t.threat_count, 0) AS threat_count,
+SELECT p.ip, p.total_requests, r.recent, coalesce(t.threat_count, 0) AS threat_count,
        coalesce(t.threat_types, '') AS threat_types, p.ip IN (SELECT ip FROM blocked) AS is_blocked
 FROM page p
-LEFT JOIN (SELECT ip, string_agg(endpoint || '=' || n, ',' ORDER BY endpoint) AS endpoints
-           FROM (SELECT ip, endpoint, count(*) AS n FROM today GROUP BY 1, 2) GROUP BY 1) e ON e.ip = p.ip
 LEFT JOIN (SELECT ip, string_agg(strftime(timestamp, '%H:%M:%S') || ' ' || full_path, ',' ORDER BY rn) AS recent
            FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY timestamp DESC, id DESC) AS rn FROM today)
            WHERE rn <= 20 GROUP BY 1) r ON r.ip = p.ip
 LEFT JOIN (SELECT ip, count(*) AS threat_count, string_agg(DISTINCT threat_type, ',' ORDER BY threat_type) AS threat_types
-           FROM today WHERE threat_type IS NOT NULL GROUP BY 1) t ON t.ip = p.ip""", """
-page AS (SELECT ip, count(*) AS total_requests FROM today GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 10)"""))
+           FROM today WHERE threat_type IS NOT NULL GROUP BY 1) t ON t.ip = p.ip""", _PAGE))
 def _(spark, sf):
     page = request_page(b.requests(spark, sf), _blocked(spark, sf), StatsParams(page=2, limit=10, day=DAY))
-    entries = F.array_sort(F.map_entries("endpoints"))
     return page.select(
         "ip", "total_requests",
-        F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-        .alias("endpoints"),
         F.array_join(F.transform("recent_requests", lambda r: F.concat_ws(" ", r["time"], r["full_path"])), ",")
         .alias("recent"),
         "threat_count", F.array_join("threat_types", ",").alias("threat_types"), "is_blocked")
 
 
+@query("request_page_endpoints", sql("""
+SELECT ip, endpoint, count(*) AS requests FROM today WHERE ip IN (SELECT ip FROM page) GROUP BY 1, 2""", _PAGE))
+def _(spark, sf):
+    return page_endpoints(b.requests(spark, sf), StatsParams(page=2, limit=10, day=DAY))
+
+
 @query("request_recent20", sql("""
 SELECT ip, id, timestamp, CAST(rn AS INTEGER) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY timestamp DESC, id DESC) AS rn FROM requests) WHERE rn <= 20"""))

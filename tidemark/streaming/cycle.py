@@ -45,7 +45,13 @@ class Cycle:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        n = self.first_batch + batch_id
+        batch = batch.persist()
+        try:
+            self._store(batch, self.first_batch + batch_id)
+        finally:
+            batch.unpersist()
+
+    def _store(self, batch: DataFrame, n: int) -> None:
         probes = stamp(batch).filter(is_valid_public_ip(F.col("ip")))
         ingest.record_snapshots(self.store, batch.select(
             tm.snapshot_id(F.col("snapshot_ts")).alias("guid"), F.col("snapshot_ts").alias("timestamp")), n)
