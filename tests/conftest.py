@@ -12,7 +12,7 @@ def spark():
     from tidemark.session import local_session
     from tidemark.streaming import enable_state_store
 
-    session = local_session(cpus=8, shuffle_partitions=4)
+    session = local_session(cpus=8, shuffle_partitions=2, **{"spark.default.parallelism": "2"})
     enable_state_store(session)
     yield session
     session.stop()

@@ -85,10 +85,12 @@ def valid_buckets(per_bucket: DataFrame) -> DataFrame:
 
 
 def server_average(contrib: DataFrame, per_bucket: DataFrame, key: str = "server") -> DataFrame:
-    """Sum over buckets divided by the buckets that had snapshots: gaps do not count."""
+    """Sum over buckets, and that divided by the buckets that had snapshots: gaps do not count.
+
+    Rank by ``total``: it is exact, so neither order nor residual depends on how tasks finish.
+    """
     return (contrib.groupBy(key).agg(F.sum("avg_contrib").alias("total"))
-            .select(key, (F.col("total").cast("double") / valid_buckets(per_bucket).scalar())
-                    .alias("average")))
+            .withColumn("average", F.col("total").cast("double") / valid_buckets(per_bucket).scalar()))
 
 
 def daily_totals(agg: DataFrame, per_bucket: DataFrame, start, end, precision: int = 2) -> DataFrame:

@@ -27,11 +27,11 @@ def top_maps(contrib: DataFrame, n: int) -> DataFrame:
 
 
 def top_servers(averages: DataFrame, n: int) -> DataFrame:
-    return top_n(averages, "average", "server", n)
+    return top_n(averages, "total", "server", n)
 
 
 def global_top(averages: DataFrame, n: int = 10) -> DataFrame:
-    return top_n(averages, "average", "server", n)
+    return top_n(averages, "total", "server", n)
 
 
 def appended_maps(contrib: DataFrame, tokens: Sequence[str] | None, top: DataFrame) -> DataFrame:
@@ -49,16 +49,21 @@ def label_others(df: DataFrame, key: str, shown: DataFrame) -> DataFrame:
             .withColumn("kind", F.coalesce("kind", F.lit("other"))))
 
 
-def with_other(ranked: DataFrame, key: str, value: str, n: int, digits: int = 2) -> DataFrame:
-    """Top ``n`` rows, then one residual row if it is positive: (id, pop, position, kind)."""
+def with_other(ranked: DataFrame, key: str, value: str, n: int, divisor: Column | None = None,
+               digits: int = 2) -> DataFrame:
+    """Top ``n`` rows, then one residual row if it is positive: (id, pop, position, kind).
+
+    ``pop`` is the value over ``divisor``; values are added up before they are divided.
+    """
     top = top_n(ranked, value, key, n).withColumn("kind", F.lit("top"))
     labelled = label_others(ranked, key, F.broadcast(top))
     summed = (labelled.groupBy("label", "kind").agg(F.sum(value).alias("total"))
               .filter((F.col("kind") == "top") | (F.col("total") > 0)))
+    pop = F.col("total").cast("double")
     # At most n + 1 rows are left here.
     order = W.orderBy((F.col("kind") == "other").asc(), F.col("total").desc(), F.col("label").asc())
     return summed.select(
-        F.col("label").alias("id"), round_even(F.col("total"), digits).alias("pop"),
+        F.col("label").alias("id"), round_even(pop if divisor is None else pop / divisor, digits).alias("pop"),
         F.row_number().over(order).alias("position"), "kind")
 
 

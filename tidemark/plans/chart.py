@@ -123,11 +123,14 @@ class Chart:
         return ag.server_average(self.server_contrib(), self.per_bucket)
 
     def server_ranking(self) -> DataFrame:
-        return rk.with_other(self.server_averages(), "server", "average", self.params.top_servers)
+        return self._ranked(self.server_averages(), self.params.top_servers)
 
     def global_server_ranking(self) -> DataFrame:
         contrib = self._contributions(self.star.cells(self.start, self.end))
-        return rk.with_other(ag.server_average(contrib, self.per_bucket), "server", "average", GLOBAL_TOP)
+        return self._ranked(ag.server_average(contrib, self.per_bucket), GLOBAL_TOP)
+
+    def _ranked(self, averages: DataFrame, n: int) -> DataFrame:
+        return rk.with_other(averages, "server", "total", n, ag.valid_buckets(self.per_bucket).scalar())
 
     def server_series(self) -> DataFrame:
         """(bucket, id, kind, avg) on the grid for the top servers, the others summed."""

@@ -84,7 +84,7 @@ srv AS (
                               AS DECIMAL(28,10)) AS avg_contrib
   FROM cells LEFT JOIN per_bucket USING (bucket) GROUP BY 1, 2),
 valid AS (SELECT greatest(count(*) FILTER (WHERE snapshots > 0), 1) AS n FROM per_bucket),
-srv_avg AS (SELECT server, CAST(sum(avg_contrib) AS DOUBLE) / (SELECT n FROM valid) AS average FROM srv GROUP BY 1),
+srv_avg AS (SELECT server, sum(avg_contrib) AS total FROM srv GROUP BY 1),
 requests AS (
   SELECT event_id AS id, ts AS timestamp,
          '10.' || ((user_id >> 16) & 255) || '.' || ((user_id >> 8) & 255) || '.' || (user_id & 255) AS ip,
@@ -245,7 +245,7 @@ def _(spark, sf):
     return chart(spark, sf, append_maps_containing=("widget", "ROD")).map_ranking()
 
 
-_TOP_SERVERS = "top_servers AS (SELECT server FROM srv_avg ORDER BY average DESC, server LIMIT 10)"
+_TOP_SERVERS = "top_servers AS (SELECT server FROM srv_avg ORDER BY total DESC, server LIMIT 10)"
 
 
 @query("server_series", sql("""
@@ -261,11 +261,11 @@ def _(spark, sf):
 
 def _ranked_sql(averages: str, n: int) -> str:
     return f"""
-top AS (SELECT server FROM {averages} ORDER BY average DESC, server LIMIT {n}),
+top AS (SELECT server FROM {averages} ORDER BY total DESC, server LIMIT {n}),
 summed AS (SELECT coalesce(t.server, 'Other') AS id, CASE WHEN t.server IS NULL THEN 'other' ELSE 'top' END AS kind,
-                  sum(average) AS total
+                  sum(a.total) AS total
            FROM {averages} a LEFT JOIN top t ON t.server = a.server GROUP BY 1, 2),
-ranked AS (SELECT id, round_even(total, 2) AS pop, kind,
+ranked AS (SELECT id, round_even(CAST(total AS DOUBLE) / (SELECT n FROM valid), 2) AS pop, kind,
                   CAST(row_number() OVER (ORDER BY kind = 'other', total DESC, id) AS INTEGER) AS position
            FROM summed WHERE kind = 'top' OR total > 0)"""
 
