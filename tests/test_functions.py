@@ -132,6 +132,12 @@ def test_fragments(spark):
     assert sorted((r.message_id, r.payload) for r in rec.reassemble(df).collect()) == [(1, "ab"), (3, "s")]
 
 
+def test_binary_fragments(spark):
+    rows = [(1, 2, 1, b"\x02"), (1, 2, 0, b"\xff\xff\xff\xff\x01"), (2, 1, 0, b"ab")]
+    df = spark.createDataFrame(rows, "message_id BIGINT, fragment_count INT, fragment_id INT, payload BINARY")
+    assert sorted((r.message_id, bytes(r.payload)) for r in rec.reassemble(df).collect()) == [(1, b"\x01\x02"), (2, b"ab")]
+
+
 def test_rules_and_players(spark):
     pairs = spark.createDataFrame([(1, 0, "k", "old"), (1, 1, "k", "new"), (1, 2, "j", "x")],
                                   "server INT, pos INT, name STRING, value STRING")

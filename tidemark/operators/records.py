@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import strip
+from tidemark.functions.text import let, strip
 from tidemark.operators.windows import latest_per_key
 
 # Fixed value: a message counts its fragments in one byte.
 MAX_FRAGMENTS = 255
 
+# Fixed value: header that may precede a joined binary payload once more.
+_HEADER = "FFFFFFFF"
+
 _LISTING = r"(?s)-{2,}\n(.+?)-{2,}\n"
 _FLAG = r"\"[^\"]*\"|'[^']*'|[^\s\"']+"
 
@@ -20,7 +23,7 @@ def reassemble(fragments: DataFrame, key: str = "message_id", pos: str = "fragme
     """Payloads of complete messages, joined in fragment order.
 
     Fragments sent twice are dropped before any are gathered, so a group holds at most
-    ``MAX_FRAGMENTS`` of them, however often they were repeated.
+    ``MAX_FRAGMENTS`` of them, however often they were repeated. Payloads are text or binary.
     """
     kept = fragments.filter(F.col(pos).between(0, MAX_FRAGMENTS - 1))
     once = kept.groupBy(key, pos).agg(F.max(count).alias(count), F.max(payload).alias(payload))
@@ -29,7 +32,15 @@ def reassemble(fragments: DataFrame, key: str = "message_id", pos: str = "fragme
         F.array_sort(F.collect_list(F.struct(pos, payload))).alias("sorted"))
     return parts.filter(F.col("parts") == F.col(count)).select(
         key, F.col("parts").cast("bigint").alias("parts"),
-        F.array_join(F.transform("sorted", lambda x: x[payload]), "").alias(payload))
+        _joined(F.transform("sorted", lambda x: x[payload]), dict(fragments.dtypes)[payload]).alias(payload))
+
+
+def _joined(pieces: Column, type_: str) -> Column:
+    if type_ != "binary":
+        return F.array_join(pieces, "")
+    whole = F.aggregate(pieces, F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x))
+    return let(whole, lambda w: F.when(
+        F.substring(w, 1, 4) == F.unhex(F.lit(_HEADER)), F.substring(w, F.lit(5), F.length(w))).otherwise(w))
 
 
 def named_player_count(players: Column) -> Column:

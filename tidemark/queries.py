@@ -288,6 +288,21 @@ def _(spark, sf):
     return jn.resolve_labels(ids, b.server_names(spark, sf)).select("id", "label")
 
 
+@query("maps_not_shown", sql("SELECT map FROM contrib WHERE map NOT IN (SELECT map FROM top_maps)"))
+def _(spark, sf):
+    c = chart(spark, sf)
+    return st.difference(ag.contribution(c.map_avg()).select("map"), c.top_maps(), "map")
+
+
+@query("share_of_total", sql("""
+SELECT bucket, server_id, players, round_even(CAST(players AS DOUBLE) /
+       coalesce(nullif(CAST(sum(players) OVER (PARTITION BY bucket) AS DOUBLE), 0), 1) * 100, 6) AS share
+FROM (SELECT bucket, server_id, CAST(sum(players) AS BIGINT) AS players FROM cells GROUP BY 1, 2)"""))
+def _(spark, sf):
+    per_server = ag.players_per(chart(spark, sf).cells, "server_id")
+    return wn.share_of_total(per_server, ["bucket"], "players").withColumn("share", r6("share"))
+
+
 @query("aligned_ratio", sql("""
 SELECT coalesce(a.bucket, b.bucket) AS bucket, round_even(coalesce(CAST(a.players AS DOUBLE) / b.snapshots, 0), 6) AS ratio
 FROM (SELECT bucket, sum(players) AS players FROM rollup_2h WHERE bucket >= '2024-01-05' AND bucket < '2024-01-10' GROUP BY 1) a
@@ -939,7 +954,7 @@ def _(spark, sf):
 
 
 @query("state_lookup", sql("""
-SELECT event_id, CASE WHEN known THEN 4.0 ELSE 2.0 END AS timeout, CASE WHEN known THEN 4 ELSE 0 END AS failures
+SELECT event_id, CAST(CASE WHEN known THEN 4 ELSE 2 END AS DOUBLE) AS timeout, CASE WHEN known THEN 4 ELSE 0 END AS failures
 FROM (SELECT event_id, ts, s.c_acctbal >= 1000 AS known FROM events JOIN servers s ON s.id = user_id)
 WHERE NOT known OR ts >= '2024-01-20'"""))
 def _(spark, sf):
