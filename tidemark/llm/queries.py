@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_quality
-from tidemark.llm.tables import table
+from tidemark.llm import bpe, line_quality, warc
+from tidemark.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +19,34 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    at = new_folder(spark, "warc")
+    warc.deduplicated(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(at)
+    back = spark.read.format("warc").schema(
+        "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, "
+        "payload binary").load(at)
+    return back.select(warc.page_id("record_id").alias("page_id"),
+                       F.coalesce(F.length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+                       "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
+def word_bpe() -> str:
+    """Place of the tokenizer file; a function, as only this default needs the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_verdicts(table(spark, sf_dir, "documents"))

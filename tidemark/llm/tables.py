@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,21 @@ def fold(id_col: Column, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the one the cluster names for checkpoints."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset, and the driver is the only machine, a folder of its own is made.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; nothing is created."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
