@@ -18,6 +18,10 @@ SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Breaks for tokens that are runs of letters and digits: white space and ASCII punctuation.
+PLAIN_BREAKS = _SPACE.copy()
+PLAIN_BREAKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
@@ -82,9 +86,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * down[starts]) if len(starts) else np.zeros(0, _U)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def find_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; a word never crosses two texts."""
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
