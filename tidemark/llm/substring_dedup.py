@@ -37,11 +37,12 @@ from tidemark.llm.tables import given_id, keyed
 
 SEED, PREFIX = 8, 16
 _FLUSH = 300_000
-_PACKED = "bin int, deep boolean, payload binary, id long, tag long, starts array<int>"
-_NAMES = ["bin", "deep", "payload", "id", "tag", "starts"]
-_SCHEMA = pa.schema([("bin", pa.int32()), ("deep", pa.bool_()), ("payload", pa.binary()), ("id", pa.int64()),
-                     ("tag", pa.int64()), ("starts", pa.list_(pa.int32()))])
+_PACKED = "bin int, kind int, payload binary"
+_SCHEMA = pa.schema([("bin", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+#: Kinds of packed rows: suffixes grouped by the prefix, suffixes grouped by the whole window, repeats grouped by document.
+SHORT, DEEP, REPEAT = 0, 1, 2
 _RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<i4")])
+_FIELDS = {SHORT: _RECORD.names, DEEP: _RECORD.names, REPEAT: ("id", "tag", "at")}
 
 
 def seeds(words: Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,30 +74,36 @@ def _seed_rows(width: int):
     return run
 
 
-def _pack(records: np.ndarray, bins: int, deep: bool) -> Iterator[pa.RecordBatch]:
-    """Suffixes as one row for each bin: the parts of a record one after another, as they compress better so."""
+def _pack(records: np.ndarray, bins: int, kind: int) -> Iterator[pa.RecordBatch]:
+    """Records as one row for each bin: the parts of a record one after another, as they compress better so."""
     if not len(records):
         return
-    key = records["a"] if not deep else mix(records["a"] ^ mix(records["b"]))
+    key = {SHORT: lambda r: r["a"], DEEP: lambda r: mix(r["a"] ^ mix(r["b"])),
+           REPEAT: lambda r: mix(r["tag"].view("<u8") ^ mix(r["id"].view("<u8")))}[kind](records)
     where = ((key >> np.uint64(20)) % np.uint64(bins)).astype(np.int32)
     order = np.argsort(where, kind="stable")
     records, where = records[order], where[order]
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-    payload = [b"".join(np.ascontiguousarray(records[n][i:j]).tobytes() for n in _RECORD.names)
-               for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    n = len(payload)
-    yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]]), pa.array(np.full(n, deep)), pa.array(payload, pa.binary()),
-                                      pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))],
-                                     schema=_SCHEMA)
-
-
-def _unpack(payload: bytes) -> np.ndarray:
-    n, at = len(payload) // _RECORD.itemsize, 0
-    out = np.empty(n, _RECORD)
-    for name in _RECORD.names:
-        kind = _RECORD[name]
-        out[name] = np.frombuffer(payload, kind, n, at)
-        at += n * kind.itemsize
+    payload = [_bytes(records[i:j], kind) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]]), pa.array(np.full(len(payload), kind, np.int32)),
+                                      pa.array(payload, pa.binary())], schema=_SCHEMA)
+
+
+def _bytes(records: np.ndarray, kind: int) -> bytes:
+    return b"".join(np.ascontiguousarray(records[n]).tobytes() for n in _FIELDS[kind])
+
+
+def _unpack(payloads: list[bytes], kind: int) -> np.ndarray:
+    fields = [(n, _RECORD[n]) for n in _FIELDS[kind]]
+    width = sum(t.itemsize for _, t in fields)
+    out = np.empty(sum(map(len, payloads)) // width, fields)
+    row = 0
+    for p in payloads:
+        n, at = len(p) // width, 0
+        for name, t in fields:
+            out[name][row:row + n] = np.frombuffer(p, t, n, at)
+            at += n * t.itemsize
+        row += n
     return out
 
 
@@ -111,25 +118,13 @@ def subtree(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settled(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (id, tag, starts) of windows that are repeats."""
-    if not len(records):
-        return
-    r = records[np.lexsort((records["at"], records["tag"], records["id"]))]
-    cuts = np.flatnonzero(np.r_[True, (r["id"][1:] != r["id"][:-1]) | (r["tag"][1:] != r["tag"][:-1]), True])
-    first, n = r[cuts[:-1]], len(cuts) - 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((mix(first["tag"].view(np.uint64)) & np.uint64(0x7FFFFFFF)).astype(np.int32)), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary()),
-         pa.array(first["id"]), pa.array(first["tag"]), lists(pa.array(r["at"]), cuts)], schema=_SCHEMA)
-
-
 def _suffixes(width: int, bins: int):
     """Cuts the suffixes with a repeated seed out of documents (id, tag, text, seeds)."""
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         records = np.concatenate(parts)
         later = records["id"] > subtree(records)
-        yield from _settled(records[later])
-        yield from _pack(records[~later], bins, False)
+        yield from _pack(records[later], bins, REPEAT)
+        yield from _pack(records[~later], bins, SHORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -157,66 +152,78 @@ def _suffixes(width: int, bins: int):
 
 
 def _trees(bins: int, group_size: int, deep: bool):
-    """Builds the subtrees of the groups of a partition, which come one after another; passes settled rows on."""
-    def close(group: list[bytes], done: list[np.ndarray]) -> None:
-        if group:
-            records = np.concatenate([_unpack(p) for p in group])
-            done.append(records[records["id"] > subtree(records)])
+    """Builds the subtrees of the groups of a partition, which come one after another; passes repeats on."""
+    kind = DEEP if deep else SHORT
+
+    def later(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        records = _unpack(group, kind)
+        is_later = records["id"] > subtree(records)
+        return records[is_later], records[~is_later]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, size, split, done, held = None, [], 0, False, [], 0
+        now, group, size, split = None, [], 0, False
         for batch in batches:
-            plain = batch.column(2).is_null()
-            if plain.true_count:
-                yield batch.filter(plain)
-            for k, is_deep, payload in zip(*(batch.filter(plain.to_numpy(False) == 0).column(i).to_pylist()
-                                             for i in range(3)), strict=True):
-                if is_deep != deep:
-                    raise ValueError("a group of another depth")
+            passing = pa.array(batch.column(1).to_numpy() == REPEAT)
+            yield batch.filter(passing)
+            own = batch.filter(pa.array(~passing.to_numpy(zero_copy_only=False)))
+            for k, payload in zip(own.column(0).to_pylist(), own.column(2).to_pylist(), strict=True):
                 if k != now:
-                    if not split:
-                        close(group, done)
+                    if group:
+                        yield from _pack(later(group)[0], bins, REPEAT)
                     now, group, size, split = k, [], 0, False
                 group.append(payload)
                 size += len(payload) // _RECORD.itemsize
-                if deep and size > group_size:  # one node for each window: only the smallest document stays
-                    records = np.concatenate([_unpack(p) for p in group])
-                    later = records["id"] > subtree(records)
-                    yield from _settled(records[later])
-                    keep = records[~later]
-                    group = [b"".join(np.ascontiguousarray(keep[n]).tobytes() for n in _RECORD.names)]
-                    size = 0
-                elif split or size > group_size:
-                    split = True
-                    yield from _pack(np.concatenate([_unpack(p) for p in group]), bins, True)
-                    group = []
-                held = sum(map(len, done))
-                if held >= _FLUSH:
-                    yield from _settled(np.concatenate(done))
-                    done = []
-        if not split:
-            close(group, done)
-        if done:
-            yield from _settled(np.concatenate(done))
+                if deep and size > group_size:  # a node for each window: only its smallest document stays
+                    done, stay = later(group)
+                    yield from _pack(done, bins, REPEAT)
+                    group, size = [_bytes(stay, kind)], 0
+                elif not deep and (split or size > group_size):
+                    yield from _pack(_unpack(group, kind), bins, DEEP)
+                    group, split = [], True
+        if group:
+            yield from _pack(later(group)[0], bins, REPEAT)
     return run
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tag, starts) of the packed repeats of a partition, whose bins come one after another."""
+    def close(group: list[bytes]) -> Iterator[pa.RecordBatch]:
+        r = _unpack(group, REPEAT)
+        r = r[np.lexsort((r["at"], r["tag"], r["id"]))]
+        cuts = np.flatnonzero(np.r_[True, (r["id"][1:] != r["id"][:-1]) | (r["tag"][1:] != r["tag"][:-1]), True])
+        first = r[cuts[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(first["id"])), pa.array(np.ascontiguousarray(first["tag"])),
+                                          lists(pa.array(np.ascontiguousarray(r["at"])), cuts)], ["id", "tag", "starts"])
+
+    now, group = None, []
+    for batch in batches:
+        for k, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if k != now and group:
+                yield from close(group)
+                group = []
+            now = k
+            group.append(payload)
+    if group:
+        yield from close(group)
+
+
 def repeats(docs: DataFrame, width: int = 50, group_size: int = 1_000_000, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """(id, tag, starts): the windows, by the number of their first word, that also start in a smaller document."""
     rows = keyed(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bins = 8 * parts
     found = rows.mapInArrow(_seed_rows(width), "seed long, id long, tag long")
     shared = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
     of_doc = found.join(shared, "seed").groupBy("id", "tag").agg(F.collect_set("seed").alias("seeds"))
     cut = rows.join(of_doc.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "seeds") \
-        .mapInArrow(_suffixes(width, bins), _PACKED)
+        .mapInArrow(_suffixes(width, parts), _PACKED)
+
+    def dealt(packed: DataFrame) -> DataFrame:
+        return packed.repartitionById(parts, F.col("bin")).sortWithinPartitions("bin", "kind")
+
     for deep in (False, True):
-        cut = cut.repartition(parts, "bin").sortWithinPartitions("bin") \
-            .mapInArrow(_trees(bins, group_size, deep), _PACKED)
-    return cut.select("id", "tag", "starts").groupBy("id", "tag") \
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        cut = dealt(cut).mapInArrow(_trees(parts, group_size, deep), _PACKED)
+    return dealt(cut).mapInArrow(_by_document, "id long, tag long, starts array<int>")
 
 
 def _mask(words: Words, i: int, starts: np.ndarray, width: int) -> np.ndarray:
