@@ -25,7 +25,7 @@ inside one document stay. Every row comes back once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import Words, find_words, lists, mix, slices, window_hashes, window_inside
-from tidemark.llm.tables import given_id, keyed
+from tidemark.llm.tables import given_id, key_columns, keyed
 
 SEED, PREFIX = 8, 16
 _FLUSH = 300_000
@@ -210,12 +210,16 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, width: int = 50, group_size: int = 1_000_000, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """(id, tag, starts): the windows, by the number of their first word, that also start in a smaller document."""
-    rows = keyed(docs, id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.mapInArrow(_seed_rows(width), "seed long, id long, tag long")
+    return _repeats(keyed(docs, id_col, text_col), width, group_size)
+
+
+def _repeats(rows: DataFrame, width: int, group_size: int) -> DataFrame:
+    """The same for rows (id, tag, text, ...); all their columns go the same way as in the caller's join with the result."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("id", "tag", "text").mapInArrow(_seed_rows(width), "seed long, id long, tag long")
     shared = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
     of_doc = found.join(shared, "seed").groupBy("id", "tag").agg(F.collect_set("seed").alias("seeds"))
-    cut = rows.join(of_doc.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "seeds") \
+    cut = rows.join(of_doc.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "seeds", *rows.columns[3:]) \
         .mapInArrow(_suffixes(width, parts), _PACKED)
 
     def dealt(packed: DataFrame) -> DataFrame:
@@ -235,12 +239,15 @@ def _mask(words: Words, i: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, width: int = 50, group_size: int = 1_000_000, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per row of docs: doc_id, tag, n_words, n_removed, ``kept`` (the words that stay, joined by one space) and ``text``
-    (the text as it was where nothing goes, else with the removed words and the space after them cut out)."""
-    found = repeats(docs, width, group_size, id_col, text_col)
-    joined = keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), ["id", "tag"], "left") \
-        .select("id", "tag", "text", "starts")
+    (the text as it was where nothing goes, else with the removed words and the space after them cut out).
+
+    With ``carry``, also ``row``: a struct of those columns of docs.
+    """
+    rows = docs.select(*key_columns(id_col, text_col), *([F.struct(*carry).alias("row")] if carry else []))
+    found = _repeats(rows, width, group_size)
+    joined = rows.join(found.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "tag", "text", "starts", *rows.columns[3:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +272,12 @@ def without_repeats(docs: DataFrame, width: int = 50, group_size: int = 1_000_00
                     text.append(b"".join([raw[x:y] for x, y in stay]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(n_removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string())],
-                    ["id", "tag", "n_words", "n_removed", "kept", "text"])
-
-    out = joined.mapInArrow(run, "id long, tag long, n_words long, n_removed long, kept string, text string")
-    return out.select(given_id().alias("doc_id"), "tag", "n_words", "n_removed", "kept", "text")
+                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
+                     *([batch.column(4).slice(lo, hi - lo)] if carry else [])],
+                    ["id", "tag", "n_words", "n_removed", "kept", "text", *(["row"] if carry else [])])
+
+    schema = "id long, tag long, n_words long, n_removed long, kept string, text string"
+    if carry:
+        schema += f", row {joined.schema['row'].dataType.simpleString()}"
+    out = joined.mapInArrow(run, schema)
+    return out.select(given_id().alias("doc_id"), "tag", "n_words", "n_removed", "kept", "text", *(["row"] if carry else []))

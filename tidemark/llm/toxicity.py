@@ -20,7 +20,7 @@ score is the share of toxic rows in the sample, 0 if there are none. Repeated ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -243,12 +243,17 @@ def _spans(words: Words, p: np.ndarray, letters: np.ndarray, i: int, level: floa
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rows: int = 4000, text_bytes: int = 64 << 10,
-          level: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
-    """Per row of docs: doc_id, tag, held_out, score and spans (start, end in characters of the text)."""
+          level: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
+          carry: Sequence[str] = ()) -> DataFrame:
+    """Per row of docs: doc_id, tag, held_out, score and spans (start, end in characters of the text).
+
+    With ``carry``, also ``row``: a struct of those columns of docs, so that no join is needed to go on with them.
+    """
     model = fit(sample(docs, labels, label, fold(F.col("k"), parts) != held, rows, text_bytes, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"),
+                        *([F.struct(*carry).alias("row")] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -266,8 +271,13 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, row
                     spans.append([{"start": s["start"] + lead, "end": s["end"] + lead} for s in found])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(m.score(p, words.first)),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    ["doc_id", "tag", "score", "spans"])
-
-    out = given.mapInArrow(run, "doc_id long, tag long, score double, spans array<struct<start:int,end:int>>")
-    return out.select("doc_id", "tag", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "spans")
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                     *([batch.column(3).slice(lo, hi - lo)] if carry else [])],
+                    ["doc_id", "tag", "score", "spans", *(["row"] if carry else [])])
+
+    schema = "doc_id long, tag long, score double, spans array<struct<start:int,end:int>>"
+    if carry:
+        schema += f", row {given.schema['row'].dataType.simpleString()}"
+    out = given.mapInArrow(run, schema)
+    return out.select("doc_id", "tag", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "spans",
+                      *(["row"] if carry else []))
