@@ -151,20 +151,39 @@ def test_admission_with_a_hot_client(spark):
     assert {r.tie: r.decision for r in done.collect()} == admission_model(rows, 4, 120, ["10.0.0.3"], ["10.0.0.4"])
 
 
-def test_carries_go_round_until_nothing_changes():
+@pytest.mark.parametrize("adds_up", [False, True])
+def test_carries_go_round_until_nothing_changes(adds_up):
     """Counting through five partitions of one key, each knowing only its own rows at first."""
     sizes = {0: 3, 1: 4, 2: 5, 3: 6}
-    report = lambda pid, carry: (("k",), ("k",), (carry[0] if carry else 0) + sizes[pid])
+    report = lambda pid, carry: (("k",), ("k",), (carry[0] if carry else 0) + sizes[pid], carry[0] if carry else 0, {})
     calls = []
 
     def refold(carries, pids):
         calls.append(set(pids))
         return {p: report(p, carries[p]) for p in pids}
 
+    def moved(end, begin, actual, facts):
+        return (end + actual - begin, True) if adds_up else (end, False)
+
     reports = {p: report(p, None) for p in sizes}
-    reports[4] = (("k",), ("z",), 99)
-    carries = chain_carries(reports, refold)
-    assert {p: c[0] for p, c in carries.items()} == {1: 3, 2: 7, 3: 12, 4: 18} and calls[0] == {1, 2, 3}
+    reports[4] = (("k",), ("z",), 99, 0, {})
+    carries = chain_carries(reports, refold, moved)
+    assert {p: c[0] for p, c in carries.items()} == {1: 3, 2: 7, 3: 12, 4: 18}
+    assert calls == [] if adds_up else calls[0] == {1, 2, 3}
+
+
+def test_rounds_do_not_grow_with_the_partitions_of_a_hot_admin(spark):
+    rows = [(i, "10.0.0.9", T0 + timedelta(milliseconds=400 * i), i % 5 == 0, None) for i in range(3000)]
+    nobody = spark.createDataFrame([], "ip STRING")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for n in (4, 16):
+        spark.sparkContext.setJobGroup(f"hot-admin-{n}", "")
+        done = state.admit(admission_df(spark, rows), nobody, ["10.0.0.9"], partitions=n)
+        jobs[n] = len(tracker.getJobIdsForGroup(f"hot-admin-{n}"))
+        assert {r.tie: r.threats for r in done.collect()} == {i: i // 5 + 1 for i, *_ in rows}
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[16] <= jobs[4] + 1
 
 
 def test_sliding_count_and_running_count_with_a_hot_key(spark):

@@ -7,10 +7,10 @@ one small state, its *carry*.
 
 1. Every partition is folded once without a carry and reports its first and last key and end state.
 2. Carries are chained from partition to partition. A partition that holds more than one key has an
-   end state that does not depend on its carry. One that lies wholly inside a large key is folded
-   again when its carry turns out to differ from the assumed one; a changed end state goes on to the
-   next partition. Rounds repeat until no carry changes, so the outcome is exact; state machines that
-   forget (windows, caps) settle after a round or two.
+   end state that does not depend on its carry. For one that lies wholly inside a large key the state machine
+   says what its end state becomes with another carry (counts add up, a block stays); where it can't be sure, the
+   partition is folded again, all such partitions in one job. Rounds repeat until no carry changes, so the outcome is
+   exact; state machines that forget (windows, caps) settle after a round or two, however many partitions a key has.
 3. A last pass folds every partition with its final carry and returns the rows.
 
 The driver sees one row per partition. The sorted partitions are a reliable checkpoint, so every
@@ -46,6 +46,17 @@ class Fold:
         """Consume rows ``lo..hi`` of one key, fill ``out`` there, return the state after them."""
         raise NotImplementedError
 
+    def facts(self, cols: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, bool]:
+        """What ``moved`` needs to know of the rows ``lo..hi``; a fact holds if it does for any rows."""
+        return {}
+
+    def moved(self, end, begin, actual, facts: dict[str, bool]):
+        """(end state, certain?) of a partition inside one key that began with ``actual`` and not with ``begin``.
+
+        If it isn't certain, the partition is folded again; a good guess saves rounds.
+        """
+        return end, False
+
     def outputs(self, n: int) -> dict[str, np.ndarray]:
         dtypes = {"boolean": bool, "int": np.int32, "bigint": np.int64, "double": np.float64}
         return {f.name: np.zeros(n, dtypes.get(f.dataType.simpleString(), object)) for f in self.schema}
@@ -74,7 +85,8 @@ class _Pass:
         pid = TaskContext.get().partitionId()
         if self.only is not None and pid not in self.only:
             return
-        first = last = state = None
+        first = last = state = begin = None
+        facts: dict[str, bool] = {}
         carry = self.carries.get(pid)
         for pdf in batches:
             n = len(pdf)
@@ -86,16 +98,19 @@ class _Pass:
                 key = tuple(cols[k][lo] for k in self.keys)
                 if first is None:
                     first = last = key
-                    state = carry[0] if carry is not None else self.fold.start(cols, lo)
+                    begin = state = carry[0] if carry is not None else self.fold.start(cols, lo)
                 elif key != last:
                     last, state = key, self.fold.start(cols, lo)
+                if not self.rows:
+                    for name, found in self.fold.facts(cols, lo, hi).items():
+                        facts[name] = facts.get(name, False) or found
                 state = self.fold.run(cols, lo, hi, state, out)
             if self.rows:
                 for name, values in out.items():
                     pdf[name] = values
                 yield pdf
         if not self.rows and first is not None:
-            yield pd.DataFrame({"pid": [pid], "report": [pickle.dumps((first, last, state))]})
+            yield pd.DataFrame({"pid": [pid], "report": [pickle.dumps((first, last, state, begin, facts))]})
 
 
 def _reports(ordered: DataFrame, fold: Fold, keys, carries: dict, only: set | None) -> dict:
@@ -104,50 +119,41 @@ def _reports(ordered: DataFrame, fold: Fold, keys, carries: dict, only: set | No
     return {r.pid: pickle.loads(bytes(r.report)) for r in rows}
 
 
-def chain_carries(reports: dict, refold) -> dict:
-    """Final carries from first reports; ``refold(carries, pids)`` folds some partitions again."""
+def chain_carries(reports: dict, refold, moved) -> dict:
+    """Final carries from first reports (first key, last key, end, begin, facts).
+
+    ``refold(carries, pids)`` folds some partitions again, all in one job; ``moved`` is the fold's.
+    """
     carries: dict = {}
     while True:
         changed, previous = set(), None
         for pid in sorted(reports):
-            first, last, _ = reports[pid]
-            wanted = None
-            if previous is not None and reports[previous][1] == first:
-                wanted = (reports[previous][2],)
-            if wanted is not None and carries.get(pid) != wanted:
-                carries[pid] = wanted
+            first, last, end, begin, facts = reports[pid]
+            if previous is not None and previous[0] == first and carries.get(pid) != (previous[1],):
+                carries[pid] = (previous[1],)
                 if first == last:
-                    changed.add(pid)
-            previous = pid
+                    end, certain = moved(end, begin, previous[1], facts)
+                    if not certain:
+                        changed.add(pid)
+                    reports[pid] = (first, last, end, previous[1], facts)
+            previous = (last, end)
         if not changed:
             return carries
         reports.update(refold(carries, changed))
 
 
-ROWS_PER_PARTITION = 1_000_000
-
-
-def partition_count(df: DataFrame, keys: Sequence[str], rows_per_partition: int) -> int:
-    """Enough partitions that none is large. AQE does not resize them, as carries go by partition.
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
+                 partitions: int | None = None) -> DataFrame:
+    """``df`` with the output columns of ``fold``, each key's rows taken in ``order``.
 
-    The count reads the key columns only.
+    ``partitions`` defaults to ``spark.sql.shuffle.partitions``, as for any shuffle; it is never one unless that is.
     """
-    rows = df.select(*keys).agg(F.count(F.lit(1))).first()[0]
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if rows > 100_000 else 1,
-               -(-rows // rows_per_partition))
-
-
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
-                 partitions: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """``df`` with the output columns of ``fold``, each key's rows taken in ``order``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or partition_count(df, keys, rows_per_partition)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order]
     ordered = df.repartitionByRange(n, *by).sortWithinPartitions(*by).checkpoint()
-    carries: dict = {}
-    if n > 1:
-        reports = _reports(ordered, fold, keys, {}, None)
-        carries = chain_carries(
-            reports, lambda known, pids: _reports(ordered, fold, keys, known, pids))
+    reports = _reports(ordered, fold, keys, {}, None)
+    carries = chain_carries(reports, lambda known, pids: _reports(ordered, fold, keys, known, pids), fold.moved)
     schema = T.StructType(ordered.schema.fields + fold.schema.fields)
     return ordered.mapInPandas(_Pass(fold, keys, carries, None, rows=True), schema)

@@ -5,6 +5,7 @@ Each is written once as a fold and used by both the batch scan and the streaming
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ def next_cooldown(timeout: float, failures: int, skip_until: float, now: float,
 
 
 class CooldownFold(Fold):
+    """State: (timeout, failures, skip_until). Runs of answers are taken at once, and so are skipped attempts."""
+
     columns = ("now_s", "ok", "timeout0", "failures0", "skip_until0")
     schema = flat_schema("probed BOOLEAN, timeout DOUBLE, failures INT, skip_until DOUBLE")
 
@@ -43,19 +46,45 @@ class CooldownFold(Fold):
         return float(cols["timeout0"][i]), int(cols["failures0"][i]), float(cols["skip_until0"][i])
 
     def run(self, cols, lo, hi, state, out):
-        for i in range(lo, hi):
-            step = next_cooldown(*state, float(cols["now_s"][i]), bool(cols["ok"][i]))
-            out["probed"][i], out["timeout"][i], out["failures"][i], out["skip_until"][i] = step
-            state = step[1:]
-        return state
+        now, ok = cols["now_s"][lo:hi].astype(float), cols["ok"][lo:hi].astype(bool)
+        failed = np.append(np.flatnonzero(~ok), hi - lo)
+        timeout, failures, skip_until = state
+        i = 0
+        while i < hi - lo:
+            j = max(i, int(np.searchsorted(now, skip_until)))  # attempts before that are skipped
+            self._put(out, lo + i, lo + min(j, hi - lo), False, timeout, failures, skip_until)
+            i = j
+            if i >= hi - lo:
+                break
+            j = int(failed[np.searchsorted(failed, i)])
+            if j > i:  # answers: the timeout shrinks step by step
+                steps = np.multiply.accumulate(np.r_[timeout, np.full(j - i, 0.9)])[1:]
+                low = np.flatnonzero(steps < MIN_TIMEOUT)
+                if len(low):
+                    steps[low[0]:] = MIN_TIMEOUT
+                self._put(out, lo + i, lo + j, True, steps, 0, 0.0)
+                timeout, failures, skip_until, i = float(steps[-1]), 0, 0.0, j
+            else:
+                _, timeout, failures, skip_until = next_cooldown(timeout, failures, skip_until, float(now[i]), False)
+                self._put(out, lo + i, lo + i + 1, True, timeout, failures, skip_until)
+                i += 1
+        return timeout, failures, skip_until
+
+    def _put(self, out, a, b, *values):
+        for f, v in zip(self.schema, values):
+            out[f.name][a:b] = v
 
 
 class RateFold(Fold):
-    """State: times of the accepted requests in the window, oldest first; never more than the limit."""
+    """State: the newest accepted times, at most as many as the limit.
+
+    A request is accepted if the accepted one ``limit`` places before it has left the window. So as long as nothing
+    is rejected, up to ``limit`` requests are judged at once; and a rejected one is followed by rejected ones until
+    that place leaves the window, which is found by binary search.
+    """
 
     columns = ("now_us",)
-    schema = flat_schema(
-        "accepted BOOLEAN, remaining INT, reset_s INT, retry_s INT")
+    schema = flat_schema("accepted BOOLEAN, remaining INT, reset_s INT, retry_s INT")
 
     def __init__(self, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS):
         self.limit, self.window = limit, seconds * MICROS
@@ -63,28 +92,43 @@ class RateFold(Fold):
     def start(self, cols, i):
         return ()
 
-    def decide(self, accepted: list, now: int) -> tuple[bool, int, int, int]:
-        """Drops expired times from ``accepted``, adds ``now`` if there is room."""
-        while accepted and accepted[0] <= now - self.window:
-            accepted.pop(0)
-        if len(accepted) >= self.limit:
-            return False, 0, 0, int((self.window - (now - accepted[0])) // MICROS)
-        accepted.append(now)
-        return True, self.limit - len(accepted), int((self.window - (now - accepted[0])) // MICROS), 0
+    def judge(self, times: np.ndarray, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+        """Verdicts on requests at sorted ``times``, and the state after them."""
+        long_ago = np.iinfo(np.int64).min // 2
+        free = np.full(self.limit - len(state), long_ago)
+        taken = np.concatenate([free, np.array(state, np.int64), np.empty(len(times), np.int64)])
+        n, i, ok = self.limit, 0, np.zeros(len(times), bool)  # taken[:n] are accepted times, free places first
+        while i < len(times):
+            block = times[i:i + self.limit]
+            late = np.flatnonzero(taken[n - self.limit:n - self.limit + len(block)] > block - self.window)
+            k = int(late[0]) if len(late) else len(block)
+            ok[i:i + k] = True
+            taken[n:n + k] = block[:k]
+            n, i = n + k, i + k
+            if len(late):
+                i = max(i, int(np.searchsorted(times, taken[n - self.limit] + self.window)))
+        accepted = taken[:n]
+        upto = self.limit + np.cumsum(ok)
+        oldest = np.minimum(np.searchsorted(accepted, times - self.window, "right"), upto - 1)
+        inside = upto - oldest
+        wait = ((self.window - (times - accepted[oldest])) // MICROS).astype(np.int32)
+        out = {"accepted": ok, "remaining": np.where(ok, self.limit - inside, 0).astype(np.int32),
+               "reset_s": np.where(ok, wait, 0), "retry_s": np.where(ok, 0, wait)}
+        last = accepted[-self.limit:]
+        return out, tuple(last[last > times[-1] - self.window].tolist()) if len(times) else state
 
     def run(self, cols, lo, hi, state, out):
-        accepted = list(state)
-        times = cols["now_us"][lo:hi].tolist()
-        for i, now in enumerate(times, lo):
-            out["accepted"][i], out["remaining"][i], out["reset_s"][i], out["retry_s"][i] = \
-                self.decide(accepted, now)
-        return tuple(accepted)
+        found, state = self.judge(cols["now_us"][lo:hi].astype(np.int64), state)
+        for name, values in found.items():
+            out[name][lo:hi] = values
+        return state
 
 
 class AdmissionFold(Fold):
     """Blocked, then threat, then log, then rate. State: threats seen, blocked?, accepted times.
 
-    A row with a ``command`` (``block`` or ``unblock``) is no request: it changes the state.
+    A row with a ``command`` (``block`` or ``unblock``) is no request: it changes the state. Between two commands
+    threats are a running sum, and the row that blocks is the first that brings it to the limit.
     """
 
     columns = ("now_us", "threat", "blocked0", "is_admin", "command")
@@ -98,36 +142,61 @@ class AdmissionFold(Fold):
     def start(self, cols, i):
         return 0, bool(cols["blocked0"][i]), ()
 
-    def step(self, threats: int, blocked: bool, accepted: list, now: int, threat: bool, admin: bool,
-             command: str | None = None):
-        """((decision, logged, threats, auto_blocked, remaining, reset, retry), threats, blocked)"""
-        if command == "unblock":
-            return (command, False, 0, False, 0, 0, 0), 0, False
-        if command == "block":
-            decision = "refused" if admin else command
-            return (decision, False, threats, False, 0, 0, 0), threats, not admin
-        if blocked:
-            return ("blocked", False, threats, False, 0, 0, 0), threats, True
-        if threat:
-            threats += 1
-            if threats >= self.block_at and not admin:
-                return ("blocked", False, threats, True, 0, 0, 0), threats, True
-        ok, remaining, reset, retry = self.rate.decide(accepted, now)
-        return (("accepted" if ok else "limited", True, threats, False, remaining, reset, retry),
-                threats, False)
-
     def run(self, cols, lo, hi, state, out):
-        threats, blocked, accepted = state[0], state[1], list(state[2])
-        names = [f.name for f in self.schema]
-        hits = pd.notna(cols["threat"][lo:hi]).tolist()
-        commands = [c if isinstance(c, str) else None for c in cols["command"][lo:hi]]
-        for i in range(lo, hi):
-            row, threats, blocked = self.step(
-                threats, blocked, accepted, int(cols["now_us"][i]), hits[i - lo],
-                bool(cols["is_admin"][i]), commands[i - lo])
-            for name, value in zip(names, row):
-                out[name][i] = value
-        return threats, blocked, tuple(accepted)
+        threats, blocked, accepted = state
+        command = pd.Series(cols["command"][lo:hi], dtype=object)
+        places = np.append(np.flatnonzero(command.notna().to_numpy()), hi - lo)
+        i = 0
+        for c in places.tolist():
+            if c > i:
+                threats, blocked, accepted = self._requests(cols, lo + i, lo + c, threats, blocked, accepted, out)
+            if c < hi - lo:
+                admin, what = bool(cols["is_admin"][lo + c]), command.iloc[c]
+                if what == "unblock":
+                    threats, blocked = 0, False
+                else:
+                    what, blocked = ("refused" if admin else what), not admin
+                out["decision"][lo + c], out["threats"][lo + c] = what, threats
+            i = c + 1
+        return threats, blocked, accepted
+
+    def _requests(self, cols, a, b, threats, blocked, accepted, out):
+        hit = pd.notna(cols["threat"][a:b])
+        so_far = threats + np.cumsum(hit)
+        stop = 0 if blocked else b - a  # the first row that isn't served
+        if not blocked:
+            over = np.flatnonzero(hit & (so_far >= self.block_at) & ~cols["is_admin"][a:b].astype(bool))
+            if len(over):
+                stop, blocked = int(over[0]), True
+                out["auto_blocked"][a + stop] = True
+                so_far[stop:] = so_far[stop]
+        else:
+            so_far[:] = threats
+        out["threats"][a:b] = so_far
+        out["decision"][a + stop:b] = "blocked"
+        if stop:
+            found, accepted = self.rate.judge(cols["now_us"][a:a + stop].astype(np.int64), accepted)
+            out["decision"][a:a + stop] = np.where(found.pop("accepted"), "accepted", "limited")
+            out["logged"][a:a + stop] = True
+            for name, values in found.items():
+                out[name][a:a + stop] = values
+        return int(so_far[-1]), blocked, accepted
+
+    def moved(self, end, begin, actual, facts):
+        """Threats before the partition are added as long as they block nobody; a block before it stays."""
+        if facts["commands"]:
+            return end, False
+        if actual[1]:
+            return actual, True
+        threats, blocked, accepted = end
+        more = threats + actual[0] - begin[0]
+        if blocked or begin[1] or (facts["guests"] and more >= self.block_at):
+            return end, False
+        return (more, blocked, accepted), tuple(begin[2]) == tuple(actual[2])
+
+    def facts(self, cols, lo, hi):
+        return {"commands": bool(pd.notna(cols["command"][lo:hi]).any()),
+                "guests": not cols["is_admin"][lo:hi].astype(bool).all()}
 
 
 def cooldown_steps(probes: DataFrame, partitions: int | None = None) -> DataFrame:
