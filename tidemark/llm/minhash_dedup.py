@@ -11,9 +11,11 @@ A key's bucket never becomes a group in a task, and its pairs are never all draw
 
 1. each member is compared with the bucket's pivot only, found by a pre-aggregated minimum; twice, with other pivots;
 2. links that hold on the full sets make components; what already hangs together need not be compared;
-3. what is left are pairs of one bucket in different components: members outside the component of the bucket's pivot
-   against the others. All of these that are close enough by signature are compared, so no link that could join two components
-   is lost.
+3. what is left are pairs of different components, of texts that share a bucket with another component. Two sets that are
+   similar enough must share one of their first shingles, in an order from rare to frequent, early enough that what follows
+   can make up the overlap (prefix and position filter). Pairs that do, and are close enough by signature, are compared. No
+   link that could join two components is lost by that, and copies that strayed too far from a large group's centre meet
+   nobody, as their own shingles are rare.
 
 A pivot with many partners is replicated to several tasks of ``STAR`` partners each. Intermediate results are written to the
 shared folder.
@@ -40,6 +42,11 @@ GUARANTEED = 2 * (SYMBOLS // CHUNK) - 1
 #: Pairs whose signatures differ in more symbols are not compared; at 0.75 that is 1 pair in a million.
 FARTHEST = 27
 
+#: Slots of the table of shingle counts that orders shingles; its size is fixed, and any order gives the same links.
+ORDER_BITS = 18
+#: Components of more nodes than this are large; large ones are joined with each other apart.
+LARGE = 64
+
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -163,6 +170,65 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .distinct()
 
 
+def _slot(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            total += np.bincount(_slot(shingle_sets(find_words(data, offsets))[0]), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+
+def _first_shingles(shared, percent: int):
+    """Rows (shingle, rep, c, n, at) of the shingles of (rep, c, text) that a similar set must share one of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            rep, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                sets, at = shingle_sets(find_words(data, offsets))
+                own = np.repeat(np.arange(hi - lo), np.diff(at))
+                sets = sets[np.lexsort((sets, counts[_slot(sets)], own))]
+                n = np.diff(at)
+                place = np.arange(len(sets)) - at[own]
+                pick = place + -(-percent * n[own] // 100) <= n[own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sets[pick].view(np.int64)), pa.array(rep[lo + own[pick]]), pa.array(c[lo + own[pick]]),
+                     pa.array(n[own[pick]].astype(np.int32)), pa.array(place[pick].astype(np.int32))],
+                    ["shingle", "rep", "c", "n", "at"])
+    return run
+
+
+def _across(texts: DataFrame, place: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, q) of different components, both in buckets with several, that may be similar enough."""
+    spark = texts.sparkSession
+    placed = members.join(place, "rep")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    left = stored(placed.join(mixed, "key").select("rep", "c").distinct(), "open")
+    rows = stored(texts.join(left, "rep").select("rep", "c", "text"), "open-texts")
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in rows.select("text").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r.slot] = r.n
+    size = left.groupBy("c").agg((F.count("*") > LARGE).alias("large"))
+    first = stored(rows.mapInArrow(_first_shingles(spark.sparkContext.broadcast(counts), percent),
+                                   "shingle long, rep long, c long, n int, at int").join(size, "c"), "first-shingles")
+    several = first.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
+    first = first.join(several, "shingle")
+    large = first.filter("large")
+    two = large.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
+    need = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
+    meets = f"a.shingle = b.shingle and a.at + {need} <= a.n and b.at + {need} <= b.n"
+    some = first.filter("not large").alias("a").join(first.alias("b"), F.expr(f"{meets} and a.c <> b.c and (b.large or a.c < b.c)"))
+    others = large.join(two, "shingle")
+    more = others.alias("a").join(others.alias("b"), F.expr(f"{meets} and a.c < b.c"))
+    return some.select(F.col("a.rep").alias("p"), F.col("b.rep").alias("q")) \
+        .union(more.select(F.col("a.rep").alias("p"), F.col("b.rep").alias("q")))
+
+
 def _once(pairs: DataFrame) -> DataFrame:
     """Each unordered pair once, in one of its directions."""
     return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("p").alias("p")) \
@@ -184,21 +250,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     place = needed.select("rep", F.col("rep").alias("c"))
     tested = None
     for turn in range(3):
-        spread = F.xxhash64("rep", F.lit(turn))
-        pivot = members.groupBy("key").agg(F.min(F.struct(spread.alias("s"), "rep"))["rep"].alias("p"))
-        placed = members.join(place, "rep")
         if turn < 2:
+            order = F.col("rep") if turn == 0 else F.xxhash64("rep")
+            pivot = members.groupBy("key").agg(F.min(F.struct(order.alias("s"), "rep"))["rep"].alias("p"))
             at = place.select(F.col("rep").alias("p"), F.col("c").alias("cp"))
-            pairs = placed.join(pivot.join(at, "p"), "key").filter("c <> cp").select("p", F.col("rep").alias("q"))
-        else:
-            open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-            at = place.select(F.col("rep").alias("p"), F.col("c").alias("cp"))
-            main = pivot.join(at, "p").join(open_keys.select("key"), "key").select("key", F.col("cp").alias("main"))
-            inside = placed.join(main, "key")
-            rest = inside.filter("c <> main").select("key", F.col("rep").alias("p"), F.col("c").alias("cp"))
-            pairs = rest.join(inside, (rest["key"] == inside["key"]) & (rest["cp"] != inside["c"])
-                              & ((inside["c"] == inside["main"]) | (rest["p"] < inside["rep"]))) \
+            pairs = members.join(place, "rep").join(pivot.join(at, "p"), "key").filter("c <> cp") \
                 .select("p", F.col("rep").alias("q"))
+        else:
+            pairs = _across(texts, place, members, percent)
         pairs = _once(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
