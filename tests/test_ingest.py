@@ -6,12 +6,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import time as tm
 from tidemark.params import ChartParams, StatsParams
 from tidemark.plans import discovery, ingest, metadata
 from tidemark.plans.chart import Chart, chart_document
 from tidemark.plans.requests import BlockList, log_rows, request_stats
 from tidemark.sources import readers as rd
+from tidemark.sources.tables import insert_ignored, upserted
 from tidemark.streaming.cycle import expire
 
 T0 = datetime(2024, 1, 1)
@@ -40,7 +42,8 @@ def rollup_of(store):
 
 BATCH1 = [sample("10.0.0.1", "ctf", "5", 0, name="One"), sample("10.0.0.2", "pl", "7", 0),
           sample("10.0.0.2", "pl", "x", 0), sample("10.0.0.3", "pl", None, 5, port=None)]
-BATCH2 = [sample("10.0.0.1", "ctf", "6", 10, name="Uno"), sample("10.0.0.1", "ctf", "1", 125), sample("10.0.0.9", "new", "2", 999)]
+BATCH2 = [sample("10.0.0.1", "ctf", "6", 10, name="Zwei"), sample("10.0.0.1", "ctf", "1", 125, name="Uno"),
+          sample("10.0.0.9", "new", "2", 999)]
 
 
 def load(store, spark):
@@ -151,7 +154,7 @@ def test_request_log_statistics_and_blocks(spark, store):
     assert blocks.block(["10.0.0.2", "10.0.0.5", " "]) == ["10.0.0.2"]
     blocks.add_auto_blocks(store.read("request_log"))
     assert {(r.ip, r.auto_blocked) for r in blocks.blocked().collect()} == {("10.0.0.2", False), ("10.0.0.1", True)}
-    stats = request_stats(store.read("request_log"), blocks.blocked(), StatsParams(page=0, limit=5, day="2024-01-01"))
+    stats = request_stats(store.read("request_log"), blocks.blocked(), StatsParams.parse({"page": 0, "limit": 5, "day": "2024-01-01"}))
     assert (stats["total_requests"], stats["unique_ips_today"], stats["page"], stats["limit"], stats["total_pages"]) == (600, 12, 1, 10, 2)
     assert [r["ip"] for r in stats["ip_breakdown"]] == sorted(f"10.0.0.{i}" for i in range(12))[:10]
     by_ip = {r["ip"]: r for r in stats["ip_breakdown"]}
@@ -169,3 +172,23 @@ def test_request_log_statistics_and_blocks(spark, store):
 def test_ids_that_clash_are_refused(spark):
     with pytest.raises(ValueError):
         ingest.check_ids(spark.createDataFrame([(1, "a"), (1, "b")], "id BIGINT, name STRING"))
+
+
+def test_repeated_keys_in_one_batch(spark, store):
+    stored = spark.createDataFrame([("a", 1)], "guid STRING, v INT")
+    new = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("b", 4, 2), ("b", 5, 1)], "guid STRING, v INT, pos INT")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(insert_ignored(stored, new, ["guid"], "pos")) == [("a", 1), ("b", 5)]
+    assert rows(upserted(stored, new, ["guid"], "pos")) == [("a", 3), ("b", 4)]
+    twice = spark.createDataFrame([("1.2.3.4", "x", T0, False), ("1.2.3.4", "y", T0 + timedelta(hours=1), False)],
+                                  schemas.BLOCKED_IPS)
+    store.upsert(twice, "blocked_ips", "blocked_at")
+    assert [r.reason for r in store.read("blocked_ips").collect()] == ["y"]
+
+
+def test_a_rewrite_that_another_writer_has_begun_fails(spark, store):
+    rows = spark.createDataFrame([("1.2.3.4", "x", T0, False)], schemas.BLOCKED_IPS)
+    store.upsert(rows, "blocked_ips")
+    store._reserve("blocked_ips", store._current("blocked_ips") + 1)
+    with pytest.raises(RuntimeError):
+        store.upsert(rows, "blocked_ips")

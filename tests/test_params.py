@@ -1,5 +1,7 @@
 from datetime import date, datetime
 
+import pytest
+
 from tidemark.operators.filters import parse_server_filter
 from tidemark.params import ChartParams, StatsParams, resolve_window
 
@@ -10,11 +12,16 @@ def test_chart_arguments_are_clamped():
     assert (p.days_to_show, p.maps_to_show, p.precision, p.top_servers) == (365, 1, 2, 50)
     assert p.only_maps_containing == ("a", "b") and p.bias_exponent == 1.2
     assert ChartParams.parse({}, today=date(2024, 1, 7)).start_date == "2024-01-01"
-    assert ChartParams(days_to_show=9999).days_to_show == 365
+    with pytest.raises(ValueError):
+        ChartParams(days_to_show=366)
 
 
 def test_pages():
-    assert (StatsParams(0, 5).page, StatsParams(0, 5).limit, StatsParams(1, 500).limit) == (1, 10, 100)
+    low, high = StatsParams.parse({"page": "0", "limit": "5"}), StatsParams.parse({"limit": "500"})
+    assert (low.page, low.limit, high.limit) == (1, 10, 100)
+    for bad in ({"page": 0}, {"limit": 5}, {"limit": 101}):
+        with pytest.raises(ValueError):
+            StatsParams(**bad)
     assert StatsParams().total_pages(0) == 1 and StatsParams(limit=10).total_pages(21) == 3
 
 

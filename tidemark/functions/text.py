@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN_CHARS = 50
 
 # Java regex flags: i = ignore case, U = Unicode classes and folding, d = only \n ends a line.
 _UNICODE = "(?iU)"
@@ -55,8 +54,8 @@ def clean_name(s: Column) -> Column:
 
 
 def clean_tokens(tokens: Iterable[str] | None) -> list[str]:
-    """Tokens of a substring filter; cut before escaping, so that no escape is cut in half."""
-    return [t[:TOKEN_CHARS] for t in tokens or [] if isinstance(t, str) and t]
+    """Tokens of a substring filter, whole."""
+    return [t for t in tokens or [] if isinstance(t, str) and t]
 
 
 def name_matches(col: Column, tokens: Iterable[str] | None) -> Column | None:

@@ -55,10 +55,10 @@ def avg_players(agg: DataFrame, per_bucket: DataFrame, precision: int = 2) -> Da
 
 
 def map_share(avg: DataFrame) -> DataFrame:
-    """Percent of the bucket's total. One total per bucket of a clamped window: at most 4380 rows."""
+    """Percent of the bucket's total."""
     totals = avg.groupBy("bucket").agg(F.sum("avg_players").alias("total"))
     total = F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total").cast("double"))
-    return (avg.join(F.broadcast(totals), "bucket")
+    return (avg.join(totals, "bucket")
             .withColumn("share", F.col("avg_players").cast("double") / total * 100)
             .drop("total"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -13,27 +14,19 @@ from tidemark.functions import text as tx
 from tidemark.functions.identity import app_id
 
 
-def conjunction(predicates: Iterable[Column | None]) -> Column | None:
-    """AND of those predicates that are active."""
-    active = [p for p in predicates if p is not None]
-    return reduce(operator.and_, active) if active else None
+_HOST_PORT = re.compile(r"\s*(?P<host>[^:\s](?:[^:]*[^:\s])?)\s*:\s*\+?(?P<port>\d+)\s*")
 
 
 def where_all(df: DataFrame, *predicates: Column | None) -> DataFrame:
-    cond = conjunction(predicates)
-    return df if cond is None else df.filter(cond)
+    """Rows that meet all predicates that are given."""
+    active = [p for p in predicates if p is not None]
+    return df.filter(reduce(operator.and_, active)) if active else df
 
 
 def parse_server_filter(value: str | None) -> tuple[str, int] | None:
-    """``ip:port``; ``ALL`` in any case and malformed values mean no filter."""
-    if not isinstance(value, str) or value.upper() == "ALL" or ":" not in value:
-        return None
-    ip, port = (part.strip() for part in value.split(":", 1))
-    try:
-        number = int(port)
-    except ValueError:
-        return None
-    return (ip, number) if ip and number >= 0 else None
+    """``ip:port``; anything else, such as ``ALL``, means no filter."""
+    found = _HOST_PORT.fullmatch(value) if isinstance(value, str) else None
+    return (found["host"], int(found["port"])) if found else None
 
 
 def server_filter(servers: DataFrame, value: str | None) -> DataFrame:

@@ -46,7 +46,7 @@ def merge_left(delta: DataFrame, stored: DataFrame, keys: Sequence[str], value:
 
 def with_denominator(agg: DataFrame, per_bucket: DataFrame) -> DataFrame:
     """Adds ``snapshots`` of the bucket, null and 0 counted as 1."""
-    return (agg.join(F.broadcast(per_bucket), "bucket", "left")
+    return (agg.join(per_bucket, "bucket", "left")
             .withColumn("snapshots", default_zero(F.col("snapshots"), 1).cast("bigint")))
 
 
@@ -58,10 +58,6 @@ def aligned_ratio(num: DataFrame, den: DataFrame, key: str, num_col: str, den_co
                 F.lit(0.0)).alias("ratio")))
 
 
-def semi(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(other.select(*keys), list(keys), "left_semi")
-
-
 def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is absent from ``other``; unlike NOT IN it is not upset by nulls."""
     return df.join(other.select(*keys), list(keys), "left_anti")

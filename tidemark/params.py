@@ -1,9 +1,10 @@
-"""Arguments of the public queries, checked and clamped on the driver."""
+"""Arguments of the public queries: checked when built in code, clamped when parsed from a web form."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 
 
@@ -15,6 +16,11 @@ def _number(args: Mapping, name: str, default, low, high, kind=int):
     return max(low, min(high, value))
 
 
+def _within(name: str, value, low: int, high: int | None) -> None:
+    if not isinstance(value, int) or value < low or (high is not None and value > high):
+        raise ValueError(f"{name} must be an integer of at least {low}" + (f" and at most {high}" if high else ""))
+
+
 def _words(args: Mapping, name: str) -> tuple[str, ...]:
     return tuple(w.strip() for w in str(args.get(name) or "").split(",") if w.strip())
 
@@ -36,10 +42,9 @@ class ChartParams:
     color_intensity: int = 50
 
     def __post_init__(self):
-        given = {f.name: getattr(self, f.name) for f in fields(self)}
         for name, low, high in (("days_to_show", 1, 365), ("maps_to_show", 1, 50), ("precision", 0, 6),
                                 ("top_servers", 1, 50)):
-            object.__setattr__(self, name, _number(given, name, getattr(type(self), name), low, high))
+            _within(name, getattr(self, name), low, high)
 
     @classmethod
     def parse(cls, args: Mapping, today: date | None = None) -> "ChartParams":
@@ -68,8 +73,14 @@ class StatsParams:
     day: str | None = None
 
     def __post_init__(self):
-        object.__setattr__(self, "page", max(1, int(self.page)))
-        object.__setattr__(self, "limit", max(10, min(100, int(self.limit))))
+        _within("page", self.page, 1, None)
+        _within("limit", self.limit, 10, 100)
+
+    @classmethod
+    def parse(cls, args: Mapping) -> "StatsParams":
+        """From query-string arguments, clamped as a web form's are."""
+        day = args.get("date") or args.get("day")
+        return cls(_number(args, "page", 1, 1, sys.maxsize), _number(args, "limit", 50, 10, 100), day)
 
     def target_day(self) -> str:
         return self.day or date.today().isoformat()

@@ -94,9 +94,9 @@ def write_samples(store: Store, raw: DataFrame, batch_id: int, ranges: DataFrame
 
 
 def save_names(store: Store, raw: DataFrame, batch_id: int, now: Column) -> None:
-    """Append names that are new or changed; ``Store.latest`` resolves them."""
-    seen = raw.select("ip", tx.to_int(F.col("port")).alias("port"), "name").filter(
-        F.col("port").isNotNull()).groupBy("ip", "port").agg(F.max("name").alias("name"))
+    """Append names that are new or changed, of a batch the last;  ``Store.latest`` resolves them."""
+    seen = raw.select("ip", tx.to_int(F.col("port")).alias("port"), "name", "timestamp").filter(
+        F.col("port").isNotNull() & F.col("name").isNotNull()).groupBy("ip", "port").agg(F.max_by("name", F.struct("timestamp", "name")).alias("name"))
     changed = fl.changed_names(seen, store.latest("server_names", before_batch=batch_id))
     store.append(changed.withColumn("updated_at", now), "server_names", batch_id)
 

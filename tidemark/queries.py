@@ -40,6 +40,8 @@ ORACLE: dict[str, str] = {}
 
 START, END, DAY = "2024-01-08", "2024-01-15", "2024-01-10"
 WINDOW = (START, END)
+#: All days of the test tables.
+FIRST, PAST = "2024-01-01", "2024-02-01"
 MIDDLE = "2024-01-16"
 
 PRELUDE = f"""
@@ -126,6 +128,15 @@ def chart(spark: SparkSession, sf: str, **params) -> Chart:
     return Chart(b.star(spark, sf, WINDOW), START, END, ChartParams(**params))
 
 
+def whole_chart(spark: SparkSession, sf: str) -> Chart:
+    """Over all days, for operators that have no window."""
+    return Chart(b.star(spark, sf, (FIRST, PAST)), FIRST, PAST, ChartParams())
+
+
+def all_days(text: str) -> str:
+    return sql(text).replace(f"'{START}'", f"'{FIRST}'").replace(f"'{END}'", f"'{PAST}'")
+
+
 # ---- chart ------------------------------------------------------------------------------------
 
 @query("map_share", sql("""
@@ -214,12 +225,12 @@ def _(spark, sf):
     return chart(spark, sf).snapshot_counts()
 
 
-@query("gap_fill", sql("""
+@query("gap_fill", all_days("""
 SELECT m.map, p.bucket, coalesce(x.players, 0) AS players
 FROM (SELECT DISTINCT map FROM map_avg) m CROSS JOIN spine p
 LEFT JOIN map_avg x ON x.map = m.map AND x.bucket = p.bucket"""))
 def _(spark, sf):
-    return jn.gap_fill(chart(spark, sf).map_avg(), ["map"], ["players"], START, END)
+    return jn.gap_fill(whole_chart(spark, sf).map_avg(), ["map"], ["players"], FIRST, PAST)
 
 
 @query("valid_buckets", sql("SELECT n AS valid_buckets FROM valid"))
@@ -288,30 +299,28 @@ def _(spark, sf):
     return jn.resolve_labels(ids, b.server_names(spark, sf)).select("id", "label")
 
 
-@query("maps_not_shown", sql("SELECT map FROM contrib WHERE map NOT IN (SELECT map FROM top_maps)"))
+@query("maps_not_shown", all_days("SELECT map FROM contrib WHERE map NOT IN (SELECT map FROM top_maps)"))
 def _(spark, sf):
-    c = chart(spark, sf)
+    c = whole_chart(spark, sf)
     return st.difference(ag.contribution(c.map_avg()).select("map"), c.top_maps(), "map")
 
 
-@query("share_of_total", sql("""
+@query("share_of_total", all_days("""
 SELECT bucket, server_id, players, round_even(CAST(players AS DOUBLE) /
        coalesce(nullif(CAST(sum(players) OVER (PARTITION BY bucket) AS DOUBLE), 0), 1) * 100, 6) AS share
 FROM (SELECT bucket, server_id, CAST(sum(players) AS BIGINT) AS players FROM cells GROUP BY 1, 2)"""))
 def _(spark, sf):
-    per_server = ag.players_per(chart(spark, sf).cells, "server_id")
+    per_server = ag.players_per(whole_chart(spark, sf).cells, "server_id")
     return wn.share_of_total(per_server, ["bucket"], "players").withColumn("share", r6("share"))
 
 
-@query("aligned_ratio", sql("""
+@query("aligned_ratio", all_days("""
 SELECT coalesce(a.bucket, b.bucket) AS bucket, round_even(coalesce(CAST(a.players AS DOUBLE) / b.snapshots, 0), 6) AS ratio
-FROM (SELECT bucket, sum(players) AS players FROM rollup_2h WHERE bucket >= '2024-01-05' AND bucket < '2024-01-10' GROUP BY 1) a
+FROM (SELECT bucket, sum(players) AS players FROM rollup_2h GROUP BY 1) a
 FULL JOIN per_bucket b ON b.bucket = a.bucket"""))
 def _(spark, sf):
-    """Windows overlap in part, so that both sides miss some buckets."""
-    sums = ag.rollup_2h(b.samples(spark, sf, ("2024-01-05", "2024-01-10"))).groupBy("bucket").agg(
-        F.sum("players").alias("players"))
-    out = jn.aligned_ratio(sums, chart(spark, sf).per_bucket, "bucket", "players", "snapshots")
+    sums = ag.rollup_2h(b.samples(spark, sf)).groupBy("bucket").agg(F.sum("players").alias("players"))
+    out = jn.aligned_ratio(sums, whole_chart(spark, sf).per_bucket, "bucket", "players", "snapshots")
     return out.select("bucket", r6("ratio").alias("ratio"))
 
 
@@ -355,15 +364,15 @@ def _(spark, sf):
                          ["bucket", "server_id", "map_id"], "players")
 
 
-@query("rollup_path_equal", sql("""
+@query("rollup_path_equal", all_days("""
 SELECT bucket, map_id, CAST(sum(players) AS BIGINT) AS raw_players, CAST(sum(players) AS BIGINT) AS rollup_players
 FROM cells GROUP BY 1, 2"""))
 def _(spark, sf):
     """The same sums from raw samples and through the rollup."""
-    raw = b.star(spark, sf, WINDOW)
+    raw = b.star(spark, sf, (FIRST, PAST))
     stored = raw.__class__(raw.snaps, raw.servers, raw.maps, raw.names, ag.rollup_2h(b.samples(spark, sf)))
-    a = ag.players_per(raw.cells(START, END), "map_id").withColumnRenamed("players", "raw_players")
-    c = ag.players_per(stored.cells(START, END), "map_id").withColumnRenamed("players", "rollup_players")
+    a = ag.players_per(raw.cells(FIRST, PAST), "map_id").withColumnRenamed("players", "raw_players")
+    c = ag.players_per(stored.cells(FIRST, PAST), "map_id").withColumnRenamed("players", "rollup_players")
     return a.join(c, ["bucket", "map_id"], "full_outer")
 
 
@@ -514,20 +523,23 @@ def _(spark, sf):
 @query("insert_ignore", sql(f"""
 SELECT guid, timestamp, CASE WHEN timestamp < '{MIDDLE}' THEN 'stored' ELSE 'new' END AS origin FROM snaps"""))
 def _(spark, sf):
-    """Snapshots of the first half are stored; all are sent again."""
+    """Snapshots of the first half are stored; all are sent again, twice: the first row of a key counts."""
     s = b.snaps(spark, sf).drop("id")
     stored = s.filter(F.col("timestamp") < tm.ntz(MIDDLE)).withColumn("origin", F.lit("stored"))
-    return insert_ignored(stored, s.withColumn("origin", F.lit("new")), ["guid"])
+    new = s.withColumn("origin", F.lit("new")).withColumn("pos", F.lit(1))
+    again = s.withColumn("origin", F.lit("again")).withColumn("pos", F.lit(2))
+    return insert_ignored(stored, again.unionByName(new), ["guid"], "pos")
 
 
 @query("upsert_replace", sql("""
 SELECT id, ip, port, CASE WHEN c_acctbal >= 1000 THEN c_name ELSE 'unnamed' END AS name FROM servers"""))
 def _(spark, sf):
-    """Every server is stored unnamed; known names replace that."""
+    """Every server is stored unnamed; known names replace that, of two for a server the last one."""
     servers = b.servers(spark, sf)
     stored = servers.select("id", "ip", "port", F.lit("unnamed").alias("name"))
     new = jn.join_endpoint(servers, b.server_names(spark, sf)).select("id", "ip", "port", "name")
-    return upserted(stored, new, ["ip", "port"])
+    early = new.withColumn("name", F.lit("early")).withColumn("pos", F.lit(1))
+    return upserted(stored, new.withColumn("pos", F.lit(2)).unionByName(early), ["ip", "port"], "pos")
 
 
 @query("upsert_latest", """

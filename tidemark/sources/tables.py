@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tidemark import schemas
@@ -112,27 +113,43 @@ class Store:
             writer = writer.write
         writer.mode("overwrite").parquet(path)
 
-    def insert_ignore(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
-        """Append the rows whose key is new; returns the table with them."""
-        keys = list(TABLES[table][2])
-        known = self.read(table, before_batch=batch_id)
-        self.append(df.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti"), table, batch_id)
+    def insert_ignore(self, df: DataFrame, table: str, batch_id: int, *order: str) -> DataFrame:
+        """Append the first row, by ``order``, of each key that is new; returns the table with them."""
+        self.append(fresh(self.read(table, before_batch=batch_id), df, TABLES[table][2], *order), table, batch_id)
         return self.read(table)
 
+    def _reserve(self, table: str, version: int) -> int:
+        """Claims a version; fails if another writer has it, so that none of two rewrites is lost.
+
+        A writer that fails gives its claim back; one whose driver died leaves a file to be deleted.
+        """
+        fs, p = self._fs(self._claim(table, version))
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"another writer has version {version} of {table}: {p}")
+        return version
+
+    def _claim(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/_claims/v={version}"
+
     # -- rewriting ------------------------------------------------------------------------------
     def _rewrite(self, df: DataFrame, table: str) -> None:
         """Write ``df``, with or without ``batch_id``, as the next version."""
-        version = self._current(table) + 1
+        version = self._reserve(table, self._current(table) + 1)
         if "batch_id" not in df.columns:
             df = df.withColumn("batch_id", F.lit(_BASE_BATCH))
         parts = ["batch_id"] + [p for p in (TABLES[table][1],) if p]
-        df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(
-            self._dir(table, version))
+        try:
+            df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(
+                self._dir(table, version))
+        except BaseException:
+            fs, p = self._fs(self._claim(table, version))
+            fs.delete(p, False)
+            raise
         self._publish(table, version)
 
-    def upsert(self, df: DataFrame, table: str) -> None:
-        """New rows replace stored ones with their key."""
-        self._rewrite(upserted(self.read(table), df, TABLES[table][2]), table)
+    def upsert(self, df: DataFrame, table: str, *order: str) -> None:
+        """The last new row of each key, by ``order``, replaces the stored one."""
+        self._rewrite(upserted(self.read(table), df, TABLES[table][2], *order), table)
 
     def delete_keys(self, keys: DataFrame, table: str) -> None:
         names = list(TABLES[table][2])
@@ -171,15 +188,26 @@ class Store:
                 self.compact(table)
 
 
-def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored rows without the keys of ``new``, and the new rows."""
-    names = list(keys)
-    return stored.join(new.select(*names), names, "left_anti").select(*stored.columns).unionByName(
-        new.select(*stored.columns))
+def _one_per_key(new: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """The first or last row of each key by ``order``; ties, and rows without an order, go by all other columns."""
+    by = [*order, *sorted(c for c in new.columns if c not in keys and c not in order)]
+    w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() if last else F.col(c).asc() for c in by] or [F.lit(0)])
+    return new.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= 1).drop("_nth")
 
 
-def insert_ignored(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored rows, and of ``new`` those whose key is not stored."""
+def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Stored rows without the keys of ``new``, and the last new row of each key by ``order``."""
+    names, last = list(keys), _one_per_key(new, keys, order, True)
+    return stored.join(last.select(*names), names, "left_anti").select(*stored.columns).unionByName(
+        last.select(*stored.columns))
+
+
+def fresh(stored: DataFrame, new: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Of ``new`` the first row, by ``order``, of each key that is not stored."""
     names = list(keys)
-    fresh = new.join(stored.select(*names), names, "left_anti")
-    return stored.unionByName(fresh.select(*stored.columns))
+    return _one_per_key(new, keys, order, False).join(stored.select(*names), names, "left_anti")
+
+
+def insert_ignored(stored: DataFrame, new: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Stored rows and the fresh ones."""
+    return stored.unionByName(fresh(stored, new, keys, *order).select(*stored.columns))

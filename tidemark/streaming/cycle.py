@@ -33,26 +33,28 @@ class Cycle:
     folders, so running it again after a failure gives the same tables.
 
     ``first_batch`` shifts batch ids when a query starts over with an empty stream checkpoint:
-    pass the number of batches already stored.
+    pass the number of batches already stored. ``one_time`` gives all rows of a batch its newest time.
     """
 
     store: Store
     ranges: DataFrame | None = None
     publish_path: str | None = None
     first_batch: int = 0
-    compact_every: int = 0
+    compact_every: int = 48
+    one_time: bool = False
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        batch = batch.persist()
+        at = F.lit(batch.agg(F.max("snapshot_ts")).first()[0]).cast("timestamp_ntz") if self.one_time else None
+        batch = stamp(batch, at).persist()
         try:
             self._store(batch, self.first_batch + batch_id)
         finally:
             batch.unpersist()
 
     def _store(self, batch: DataFrame, n: int) -> None:
-        probes = stamp(batch).filter(is_valid_public_ip(F.col("ip")))
+        probes = batch.filter(is_valid_public_ip(F.col("ip")))
         ingest.record_snapshots(self.store, batch.select(
             tm.snapshot_id(F.col("snapshot_ts")).alias("guid"), F.col("snapshot_ts").alias("timestamp")), n)
 
