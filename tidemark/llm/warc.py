@@ -142,8 +142,8 @@ class _Member:
     def end(self) -> int:
         if self.length is not None:
             return self.pos + self.length
-        while not self.z.eof and self.fed < self.blocks.size:
-            self.z.decompress(self.z.unconsumed_tail or self._more(), _BLOCK)
+        while not self.z.eof and (waiting := self.z.unconsumed_tail or self._more()):
+            self.z.decompress(waiting, _BLOCK)
         return self.fed - len(self.z.unused_data)
 
     def _more(self) -> bytes:
