@@ -6,6 +6,7 @@ where it is the operator.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,9 @@ from tidemark.plans import bindings as b
 from tidemark.plans import discovery, ingest, metadata, profile
 from tidemark.plans.chart import Chart
 from tidemark.plans.requests import page_endpoints, request_page
-from tidemark.session import apply_semantics
+from tidemark.session import apply_semantics, ensure_checkpoint_dir
 from tidemark.sources import readers as rd
-from tidemark.sources.tables import insert_ignored, upserted
+from tidemark.sources.tables import Store, insert_ignored, upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -542,6 +543,65 @@ def _(spark, sf):
     return upserted(stored, new.withColumn("pos", F.lit(2)).unionByName(early), ["ip", "port"], "pos")
 
 
+def _store(spark) -> Store:
+    """Tables of their own in the folder that all machines share."""
+    return Store(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}")
+
+
+@query("store_upsert", sql("""
+SELECT ip, port, CASE WHEN c_acctbal >= 1000 THEN c_name ELSE 'unnamed' END AS name FROM servers"""))
+def _(spark, sf):
+    """As upsert_replace, written to a table and read back."""
+    store, at = _store(spark), tm.ntz(MIDDLE)
+    servers = b.servers(spark, sf)
+    store.append(servers.select("ip", "port", F.lit("unnamed").alias("name"), at.alias("updated_at")), "server_names", 0)
+    named = b.server_names(spark, sf)
+    new = named.select("ip", "port", "name", (at + F.expr("INTERVAL 2 HOURS")).alias("updated_at"))
+    old = named.select("ip", "port", F.lit("early").alias("name"), (at + F.expr("INTERVAL 1 HOUR")).alias("updated_at"))
+    store.upsert(new.unionByName(old), "server_names", "updated_at")
+    return store.read("server_names").select("ip", "port", "name")
+
+
+@query("store_insert_ignore", sql("SELECT guid, timestamp FROM snaps"))
+def _(spark, sf):
+    """Snapshots of the first half are stored; then all are sent, twice."""
+    store, s = _store(spark), b.snaps(spark, sf)
+    store.append(s.filter(F.col("timestamp") < tm.ntz(MIDDLE)), "snaps", 0)
+    return store.insert_ignore(s.unionByName(s), "snaps", 1).select("guid", "timestamp")
+
+
+@query("store_delete_keys", sql("SELECT ip, port, name FROM server_names WHERE ip NOT IN (SELECT ip FROM blocked)"))
+def _(spark, sf):
+    store, names = _store(spark), b.server_names(spark, sf)
+    store.append(names.withColumn("updated_at", tm.ntz(MIDDLE)), "server_names", 0)
+    store.delete_keys(names.join(_blocked(spark, sf), "ip", "left_semi"), "server_names")
+    return store.read("server_names").select("ip", "port", "name")
+
+
+@query("store_retention", sql("""
+SELECT id, timestamp, ip FROM requests WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY"""))
+def _(spark, sf):
+    """As retention, written to a dated table and read back."""
+    store = _store(spark)
+    store.append(b.requests(spark, sf).withColumn("log_date", F.col("timestamp").cast("date")), "request_log", 0)
+    newest = b.table(spark, sf, "events").agg(F.max("ts").alias("t")).scalar()
+    store.retain("request_log", "timestamp", tm.shift_days(newest, -10))
+    return store.read("request_log").select("id", "timestamp", "ip")
+
+
+@query("store_compact", sql("SELECT bucket, server_id, map_id, players FROM rollup_2h"))
+def _(spark, sf):
+    """The rollup in three batches, cut inside a bucket and merged."""
+    store, s = _store(spark), b.samples(spark, sf)
+    cut = F.pmod(F.col("id"), F.lit(3))
+    for k in range(3):
+        part = ag.rollup_2h(s.filter(cut == k))
+        store.append(part.withColumn("bucket_date", F.col("bucket").cast("date")), "rollup_2h", k)
+    store.compact("rollup_2h")
+    left = store.read("rollup_2h").groupBy("bucket", "server_id", "map_id")
+    return left.agg(F.sum("players").alias("players"))
+
+
 @query("upsert_latest", """
 SELECT user_id, event_id, event_type, ts FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
@@ -1002,6 +1062,16 @@ def _(spark, sf):
     return rec.reassemble(st.union_all(f, f))
 
 
+@query("fragment_rejects", """
+SELECT conv_id AS message_id, turn AS fragment_id FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn >= n""")
+def _(spark, sf):
+    """Each message says that it has one fragment fewer than were sent."""
+    c = b.table(spark, sf, "conversations")
+    n = c.groupBy("conv_id").agg(F.max("turn").alias("fragment_count"))
+    f = c.join(n, "conv_id").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("fragment_id"), "fragment_count")
+    return rec.fragment_rejects(f).select("message_id", "fragment_id")
+
+
 @query("named_player_count", """
 SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS named_players,
        CAST(len(embedding) AS INTEGER) AS listed_players FROM embeddings""")
@@ -1070,6 +1140,15 @@ def _(spark, sf):
     return rec.cvar_rows(p.select("p_partkey", text.alias("text"))).withColumn("flags", F.array_join("flags", ","))
 
 
+@query("cvar_rejects", "SELECT p_partkey, 'size ' || p_size AS line FROM part")
+def _(spark, sf):
+    """Each part as a listing of a variable, a line without colons and a blank one."""
+    p, nl = b.table(spark, sf, "part"), F.lit("\n")
+    text = F.concat(F.lit("--\nprice : "), F.col("p_partkey").cast("string"), F.lit(" : : x"), nl, F.lit("size "),
+                    F.col("p_size").cast("string"), nl, nl, F.lit("--\n"))
+    return rec.cvar_rejects(p.select("p_partkey", text.alias("text")))
+
+
 @query("rules_map", """
 SELECT l_orderkey, l_returnflag || l_linestatus AS name, CAST(l_partkey AS VARCHAR) AS value FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, name ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1""")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark import schemas
 from tidemark.functions import time as tm
 from tidemark.functions.text import is_valid_public_ip
+from tidemark.operators import aggregates as ag
 from tidemark.operators import filters as fl
 from tidemark.operators import joins as jn
 from tidemark.operators import state
@@ -86,6 +87,8 @@ def run_cycle(stream: DataFrame, cycle: Cycle, checkpoint: str, available_now: b
 def stream_rollup(samples: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Event-time rollup of ``samples(timestamp, server_id, map_id, players)``; use update mode.
 
+    Rows later than ``lateness`` are left out; ``run_rollup`` takes them all.
+
     Watermarks need a timestamp with zone, so times are read as UTC.
     """
     return (samples.withColumn("event_time", F.col("timestamp").cast("timestamp"))
@@ -95,6 +98,26 @@ def stream_rollup(samples: DataFrame, lateness: str = "1 day") -> DataFrame:
             .select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "server_id", "map_id", "players"))
 
 
+def rollup_into(store: Store, first_batch: int = 0):
+    """Sink that adds ``samples(timestamp, server_id, map_id, players)`` to the stored rollup, whatever their time.
+
+    Nothing is dropped for being late: a batch appends its sums per bucket, and readers and compaction add them up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = ag.rollup_2h(batch).withColumn("bucket_date", F.col("bucket").cast("date"))
+        store.append(sums, "rollup_2h", first_batch + batch_id)
+
+    return write
+
+
+def run_rollup(samples: DataFrame, store: Store, checkpoint: str, available_now: bool = False,
+               every: str = "300 seconds", first_batch: int = 0) -> StreamingQuery:
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return (samples.writeStream.foreachBatch(rollup_into(store, first_batch)).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start())
+
+
 def expire(store: Store, days: int = 30, now: Column | None = None) -> None:
     """Drop logged requests older than ``days``; blocks stay."""
     store.retain("request_log", "timestamp", tm.shift_days(now if now is not None else F.localtimestamp(), -days))
