@@ -360,18 +360,18 @@ def score(docs: DataFrame, path: str, parts: int = 7, held: int = 2, batch_bytes
     answers = asked.repartition(bins, "bin").sortWithinPartitions("bin") \
         .mapInArrow(_answer, "batch int, bin int, payload binary, n long, v long, once long")
     end = 1 if train_rows else 0
-    totals = answers.filter("batch = -1").agg((F.coalesce(F.sum("n"), F.lit(0)) + train_rows).alias("train_tokens"),
-                                              (F.coalesce(F.sum("v"), F.lit(0)) + end).alias("distinct_tokens"),
-                                              F.coalesce(F.sum("once"), F.lit(0)).alias("once")).withColumn("one", F.lit(1))
-    back = answers.filter("batch >= 0").withColumn("one", F.lit(1)).join(F.broadcast(totals.drop("distinct_tokens").withColumnRenamed("once", "s")), "one") \
-        .select("batch", "bin", "payload", "train_tokens", "s")
+    totals = answers.filter("batch = -1").agg(F.struct(
+        (F.coalesce(F.sum("n"), F.lit(0)) + train_rows).alias("tokens"), (F.coalesce(F.sum("v"), F.lit(0)) + end).alias("distinct"),
+        F.coalesce(F.sum("once"), F.lit(0)).alias("once")).alias("t")).scalar()
+    back = answers.filter("batch >= 0").select("batch", "bin", "payload", totals["tokens"].alias("train_tokens"), totals["once"].alias("s"))
     rated = rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(
         _rate(shared, bins), "id long, learn boolean, words long, known long, logs double, score double")
+    rated = rated.withColumn("t", totals)
     tokens = F.col("words") + 1
     base = F.col("logs") + F.lit(float(np.log10(train_rows + 1))) \
-        - tokens * F.log10((F.col("train_tokens") + F.col("distinct_tokens") + 1).cast("double"))
-    unseen = (F.col("once") + 1) / (F.col("train_tokens") + 1)
-    end_p = (1 - unseen) * train_rows / F.greatest(F.col("train_tokens"), F.lit(1)) + unseen * float(np.exp(pieces.end_log_p))
-    return rated.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one") \
-        .select(given_id().alias("doc_id"), (~F.col("learn")).alias("held_out"), tokens.alias("n_tokens"),
-                (F.col("known") + end).alias("n_known"), "train_tokens", base.alias("base_score"), (F.col("score") + F.log10(end_p)).alias("score"))
+        - tokens * F.log10((F.col("t.tokens") + F.col("t.distinct") + 1).cast("double"))
+    unseen = (F.col("t.once") + 1) / (F.col("t.tokens") + 1)
+    end_p = (1 - unseen) * train_rows / F.greatest(F.col("t.tokens"), F.lit(1)) + unseen * float(np.exp(pieces.end_log_p))
+    return rated.select(given_id().alias("doc_id"), (~F.col("learn")).alias("held_out"), tokens.alias("n_tokens"),
+                        (F.col("known") + end).alias("n_known"), F.col("t.tokens").alias("train_tokens"), base.alias("base_score"),
+                        (F.col("score") + F.log10(end_p)).alias("score"))
