@@ -77,7 +77,7 @@ def test_substring_filters(spark):
     names = ["PL_Éclair", "a.b", "axb", "ctf"]
     assert apply(spark, names, lambda c: tx.name_matches(c, ["éCL", "A.B"])) == [True, True, False, False]
     assert tx.name_matches(F.col("x"), []) is None and tx.name_matches(F.col("x"), ["", None]) is None
-    assert tx.clean_tokens(["x" * 49 + ".y"]) == ["x" * 49 + "."]
+    assert tx.clean_tokens(["x" * 49 + ".y"]) == ["x" * 49 + ".y"]
 
 
 def test_admins(spark):
@@ -146,3 +146,23 @@ def test_rules_and_players(spark):
     assert df.select(rec.named_player_count(F.col("p"))).first()[0] == 1
     flags = spark.range(1).select(*[c.alias(n) for n, c in idn.edf_flags(F.lit(0x80 | 0x20)).items()]).first().asDict()
     assert [n for n, on in flags.items() if on] == ["has_port", "has_keywords"]
+
+
+def test_rejects_of_listings_and_fragments(spark):
+    from tidemark.operators import records as rec
+
+    text = "head\n----\na : 1 : x : y\nbad line\n\n----\n"
+    assert [tuple(r) for r in rec.cvar_rejects(spark.createDataFrame([(1, text)], "k INT, text STRING")).collect()] == [(1, "bad line")]
+    many = [(1, 300, k, f"{k},") for k in range(300)] + [(2, 2, 0, "a"), (2, 2, 5, "b"), (2, 2, None, "c")]
+    df = spark.createDataFrame(many, "message_id BIGINT, fragment_count INT, fragment_id INT, payload STRING")
+    (whole,) = rec.reassemble(df).collect()
+    assert whole.parts == 300 and whole.payload.startswith("0,1,2,") and whole.payload.endswith("299,")
+    assert {(r.message_id, r.fragment_id) for r in rec.fragment_rejects(df).collect()} == {(2, 5), (2, None)}
+
+
+def test_filter_tokens_are_matched_whole(spark):
+    from tidemark.functions.text import name_matches
+
+    long = "x" * 60
+    df = spark.createDataFrame([(long,), ("x" * 55,)], "name STRING")
+    assert df.filter(name_matches(F.col("name"), [long])).count() == 1

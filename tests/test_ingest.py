@@ -192,3 +192,17 @@ def test_a_rewrite_that_another_writer_has_begun_fails(spark, store):
     store._reserve("blocked_ips", store._current("blocked_ips") + 1)
     with pytest.raises(RuntimeError):
         store.upsert(rows, "blocked_ips")
+
+
+def test_retention_leaves_the_files_of_kept_days_alone(spark, store, tmp_path):
+    days = [datetime(2024, 1, d, 12) for d in (1, 2, 3, 4)]
+    rows = [(k, t, "1.2.3.4", "e", "/", t.date()) for k, t in enumerate(days)]
+    store.append(spark.createDataFrame(rows, schemas.REQUEST_LOG), "request_log", 0)
+    files = lambda: {str(p) for p in (tmp_path / "tables").rglob("*.parquet")}
+    before = files()
+    store.retain("request_log", "timestamp", tm.ntz(datetime(2024, 1, 2, 18)))
+    kept = {f for f in before if "2024-01-01" not in f}
+    assert files() == kept and len(kept) < len(before)
+    assert sorted(r.id for r in store.read("request_log").collect()) == [2, 3]
+    store.compact("request_log")
+    assert sorted(r.id for r in store.read("request_log").collect()) == [2, 3]

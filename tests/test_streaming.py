@@ -103,3 +103,14 @@ def test_event_time_rollup(spark, tmp_path):
         newest[key] = max(r.players, newest.get(key, 0))
     from tidemark.operators.aggregates import rollup_2h
     assert newest == {(r.bucket, r.server_id, r.map_id): r.players for r in rollup_2h(df).collect()}
+
+
+def test_late_rows_are_rolled_up(spark, store):
+    from tidemark.streaming.cycle import rollup_into
+
+    schema = "timestamp TIMESTAMP_NTZ, server_id BIGINT, map_id BIGINT, players BIGINT"
+    write = rollup_into(store)
+    write(spark.createDataFrame([(datetime(2024, 1, 5), 1, 1, 3)], schema), 0)
+    write(spark.createDataFrame([(datetime(2024, 1, 3, 0, 30), 1, 1, 4), (datetime(2024, 1, 5, 1), 1, 1, 5)], schema), 1)
+    got = {r.bucket: r.n for r in store.read("rollup_2h").groupBy("bucket").agg(F.sum("players").alias("n")).collect()}
+    assert got == {datetime(2024, 1, 5): 8, datetime(2024, 1, 3): 4}

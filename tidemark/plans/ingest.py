@@ -142,9 +142,9 @@ def cycle_metrics(targets: DataFrame, probed: DataFrame) -> DataFrame:
     return listed.select("*", *[seen.select(c).scalar().alias(c) for c in ("skipped", "answered")])
 
 
-def publish_default(store: Store, path: str, params: ChartParams = ChartParams(maps_to_show=15)) -> bool:
-    """Write the default chart's results where a dashboard reads them."""
-    chart = Chart.resolve(stored_star(store), params)
+def publish_default(store: Store, path: str, params: ChartParams | None = None) -> bool:
+    """Write the default chart's results, those of the week that ends today, where a dashboard reads them."""
+    chart = Chart.resolve(stored_star(store), params or ChartParams.parse({"maps_to_show": 15}))
     if chart is None:
         return False
     chart.persist()

@@ -33,7 +33,7 @@ TABLES: dict[str, tuple[T.StructType, str | None, tuple[str, ...]]] = {
     "request_log": (schemas.REQUEST_LOG, "log_date", ()),
     "blocked_ips": (schemas.BLOCKED_IPS, None, ("ip",)),
 }
-_MARKER = "_READY"
+_MARKER, _FLOOR = "_READY", "_FLOOR"
 _BASE_BATCH = -1  # batch id of merged rows
 
 
@@ -87,11 +87,22 @@ class Store:
 
     def read(self, table: str, before_batch: int | None = None) -> DataFrame:
         """Current rows; of batches earlier than ``before_batch`` only, if given."""
-        df = self._read_all(table)
+        df = self._kept(self._read_all(table), table)
         if before_batch is not None:
             df = df.filter(F.col("batch_id") < before_batch)
         return df.select(*TABLES[table][0].fieldNames())
 
+    def _kept(self, df: DataFrame, table: str) -> DataFrame:
+        """Rows from the retention's cutoff on, if there was one."""
+        fs, p = self._fs(f"{self.root}/{table}/{_FLOOR}")
+        if not fs.exists(p):
+            return df
+        stream = fs.open(p)
+        ts, cutoff = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("|")
+        stream.close()
+        at = F.lit(cutoff).cast("timestamp_ntz")
+        return df.filter((F.col(ts) >= at) & (F.col(TABLES[table][1]) >= at.cast("date")))
+
     def read_batch(self, table: str, batch_id: int) -> DataFrame:
         return self._read_all(table).filter(F.col("batch_id") == batch_id).select(
             *TABLES[table][0].fieldNames())
@@ -156,11 +167,26 @@ class Store:
         self._rewrite(self.read(table).join(keys.select(*names), names, "left_anti"), table)
 
     def retain(self, table: str, ts: str, cutoff: Column) -> None:
-        """Keep rows from the cutoff on; on a dated table older date folders are not even read."""
-        df, part = self.read(table), TABLES[table][1]
-        if part:
-            df = df.filter(F.col(part) >= cutoff.cast("date"))
-        self._rewrite(df.filter(F.col(ts) >= cutoff), table)
+        """Keep rows from the cutoff on.
+
+        Of a dated table nothing is rewritten: readers are told the cutoff by a small file, and the folders of older
+        dates go. Other tables are rewritten.
+        """
+        part = TABLES[table][1]
+        if not part:
+            self._rewrite(self.read(table).filter(F.col(ts) >= cutoff), table)
+            return
+        day, at = self.spark.range(1).select(cutoff.cast("date").cast("string"), cutoff.cast("timestamp_ntz").cast("string")).first()
+        if at is None:
+            return
+        fs, p = self._fs(f"{self.root}/{table}/{_FLOOR}")
+        stream = fs.create(p, True)
+        stream.write(bytearray(f"{ts}|{at}".encode()))
+        stream.close()
+        _, folders = self._fs(f"{self._dir(table, self._current(table))}/batch_id=*/{part}=*")
+        for found in fs.globStatus(folders) or []:
+            if found.getPath().getName().split("=")[1] < day:
+                fs.delete(found.getPath(), True)
 
     def _newest_batch(self, table: str) -> int:
         fs, p = self._fs(self._dir(table, self._current(table)))
@@ -174,7 +200,7 @@ class Store:
         """
         newest = self._newest_batch(table)
         batch = F.when(F.col("batch_id") < newest, _BASE_BATCH).otherwise(F.col("batch_id"))
-        df = self._read_all(table).withColumn("batch_id", batch)
+        df = self._kept(self._read_all(table), table).withColumn("batch_id", batch)
         if table == "rollup_2h":
             df = df.groupBy("bucket", "server_id", "map_id", "bucket_date", "batch_id").agg(
                 F.sum("players").alias("players"))

@@ -34,7 +34,7 @@ class Cycle:
     folders, so running it again after a failure gives the same tables.
 
     ``first_batch`` shifts batch ids when a query starts over with an empty stream checkpoint:
-    pass the number of batches already stored. ``one_time`` gives all rows of a batch its newest time.
+    pass the number of batches already stored. Old log rows go every ``expire_every`` batches. ``one_time`` gives all rows of a batch its newest time.
     """
 
     store: Store
@@ -43,6 +43,8 @@ class Cycle:
     first_batch: int = 0
     compact_every: int = 48
     one_time: bool = False
+    expire_every: int = 12
+    log_days: int = 30
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -73,6 +75,8 @@ class Cycle:
             steps.unpersist()
         if self.compact_every and (n + 1) % self.compact_every == 0:
             self.store.compact_all()
+        if self.expire_every and (n + 1) % self.expire_every == 0:
+            expire(self.store, self.log_days)
         if self.publish_path:
             ingest.publish_default(self.store, self.publish_path)
 

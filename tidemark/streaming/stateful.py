@@ -62,7 +62,7 @@ ADMISSION_OUT = flat_schema(
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Blocked mark and threat count of a client stay; its accepted times go once they are old."""
+    """Of a client its threat count and block stay, if it has any; its accepted times go once they are old."""
 
     def __init__(self, fold: st.AdmissionFold):
         self.fold = fold
@@ -93,7 +93,10 @@ class AdmissionProcessor(StatefulProcessor):
         cols = {c: pdf[c].to_numpy() for c in self.fold.columns}
         out = self.fold.outputs(len(pdf))
         threats, blocked, kept = self.fold.run(cols, 0, len(pdf), (threats, blocked, times), out)
-        self.standing.update((int(threats), bool(blocked)))
+        if threats or bool(blocked) != bool(pdf["blocked0"].iloc[0]):
+            self.standing.update((int(threats), bool(blocked)))
+        else:  # nothing that the start list doesn't say
+            self.standing.clear()
         self._keep(kept)
         for name, values in out.items():
             pdf[name] = values
