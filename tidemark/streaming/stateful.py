@@ -32,13 +32,14 @@ class CooldownProcessor(StatefulProcessor):
         pdf = _in_order(rows, "now_s", "tie")
         stored = self.state.get() if self.state.exists() else None
         current = tuple(stored) if stored is not None else (st.START_TIMEOUT, 0, 0.0)
-        out = []
-        for now, tie, ok in zip(pdf["now_s"], pdf["tie"], pdf["ok"]):
-            step = st.next_cooldown(*current, float(now), bool(ok))
-            current = step[1:]
-            out.append((*key, int(tie), float(now), *step))
+        fold = st.CooldownFold()
+        out = fold.outputs(len(pdf))
+        current = fold.run({c: pdf[c].to_numpy() for c in ("now_s", "ok")}, 0, len(pdf), current, out)
         self.state.update((float(current[0]), int(current[1]), float(current[2])))
-        yield pd.DataFrame(out, columns=COOLDOWN_OUT.fieldNames())
+        for name, values in out.items():
+            pdf[name] = values
+        pdf["ip"], pdf["port"] = key
+        yield pdf[COOLDOWN_OUT.fieldNames()]
 
     def close(self) -> None:
         pass
