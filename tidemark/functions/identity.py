@@ -105,6 +105,12 @@ def _account(account: Column, instance: Column, type_: Column, universe: Column)
         type_.cast("int").alias("type"), universe.cast("int").alias("universe")))
 
 
+# The forms of an account as text, and of a community address with a 32-bit and a 64-bit number.
+ACCOUNT_TEXT = r"^STEAM_(\d+):(\d+):(\d+)$"
+ADDRESS_32 = r".*/(profiles|id|groups|gid)/\[([UgT]):1:(\d+)\]$"
+ADDRESS_64 = r".*/(profiles|id|groups|gid)/(\d+)$"
+
+
 def account_id(account: Column, instance: Column, type_: Column, universe: Column) -> Column:
     """The four components as a struct; null where one is out of range."""
     return _account(account, instance, type_, universe).cast(_ACCOUNT)
@@ -112,8 +118,7 @@ def account_id(account: Column, instance: Column, type_: Column, universe: Colum
 
 def account_from_text(s: Column, type_: int = TYPE_PERSON) -> Column:
     """``STEAM_X:Y:Z`` and the two special forms; anything else is null."""
-    pattern = r"^STEAM_(\d+):(\d+):(\d+)$"
-    x, y, z = (F.regexp_extract(s, pattern, i).try_cast("bigint") for i in (1, 2, 3))
+    x, y, z = (F.regexp_extract(s, ACCOUNT_TEXT, i).try_cast("bigint") for i in (1, 2, 3))
     zero = F.lit(0)
     special = (F.when(s == "STEAM_ID_PENDING", _account(zero, zero, F.lit(TYPE_PENDING), zero))
                .when(s == "UNKNOWN", _account(zero, zero, F.lit(TYPE_INVALID), zero)))
@@ -123,12 +128,10 @@ def account_from_text(s: Column, type_: int = TYPE_PERSON) -> Column:
 def account_from_url(url: Column, universe: int = 0) -> Column:
     """Community address with a 32-bit (``[U:1:W]``) or a 64-bit number; anything else is null."""
     path = F.regexp_replace(url, r"[?#].*$", "")
-    p32 = r".*/(profiles|id|groups|gid)/\[([UgT]):1:(\d+)\]$"
-    p64 = r".*/(profiles|id|groups|gid)/(\d+)$"
     letters = {letter: t for t, letter in TYPE_LETTERS.items()}
-    w32 = F.regexp_extract(path, p32, 3).try_cast("bigint")
-    w64 = F.regexp_extract(path, p64, 2).try_cast("bigint")
-    person = F.regexp_extract(path, p64, 1).isin("profiles", "id")
+    w32 = F.regexp_extract(path, ADDRESS_32, 3).try_cast("bigint")
+    w64 = F.regexp_extract(path, ADDRESS_64, 2).try_cast("bigint")
+    person = F.regexp_extract(path, ADDRESS_64, 1).isin("profiles", "id")
 
     def build(number: Column, base: Column, type_: Column) -> Column:
         def parts(w: Column) -> Column:
@@ -137,7 +140,7 @@ def account_from_url(url: Column, universe: int = 0) -> Column:
         return let(number, parts)
 
     return F.coalesce(
-        build(w32, F.lit(0), lookup(F.regexp_extract(path, p32, 2), letters)),
+        build(w32, F.lit(0), lookup(F.regexp_extract(path, ADDRESS_32, 2), letters)),
         build(w64, F.when(person, F.lit(PERSON_BASE)).otherwise(F.lit(GROUP_BASE)),
               F.when(person, F.lit(TYPE_PERSON)).otherwise(F.lit(TYPE_GROUP)))).cast(_ACCOUNT)
 

@@ -30,10 +30,6 @@ def top_servers(averages: DataFrame, n: int) -> DataFrame:
     return top_n(averages, "total", "server", n)
 
 
-def global_top(averages: DataFrame, n: int = 10) -> DataFrame:
-    return top_n(averages, "total", "server", n)
-
-
 def appended_maps(contrib: DataFrame, tokens: Sequence[str] | None, top: DataFrame) -> DataFrame:
     """Maps that match and are not among the top ones."""
     match = name_matches(F.col("map"), tokens)

@@ -59,7 +59,3 @@ def parse_samples(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_samples_csv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """Legacy sample files as raw string rows; feed them to ``parse_samples``."""
     return spark.read.schema(schemas.RAW_SAMPLE).option("header", header).csv(path)
-
-
-def read_probes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PROBE).json(path)
