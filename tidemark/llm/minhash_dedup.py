@@ -211,8 +211,8 @@ def _across(texts: DataFrame, place: DataFrame, members: DataFrame, percent: int
     left = stored(placed.join(mixed, "key").select("rep", "c").distinct(), "open")
     rows = stored(texts.join(left, "rep").select("rep", "c", "text"), "open-texts")
     counts = np.zeros(1 << ORDER_BITS, np.int64)
-    for r in rows.select("text").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r.slot] = r.n
+    found = rows.select("text").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     size = left.groupBy("c").agg((F.count("*") > LARGE).alias("large"))
     first = stored(rows.mapInArrow(_first_shingles(spark.sparkContext.broadcast(counts), percent),
                                    "shingle long, rep long, c long, n int, at int").join(size, "c"), "first-shingles")

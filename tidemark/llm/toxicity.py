@@ -151,7 +151,7 @@ class Model:
     constant: float | None = None
 
     def unary(self, index: np.ndarray) -> np.ndarray:
-        return self.weights[index].sum(0, dtype=np.float64) + self.bias
+        return _unary(self.weights, index, self.bias)
 
     def score(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -189,51 +189,82 @@ def fit(rows: list[tuple[str, int]], rounds: int = 25) -> Model:
     if constant is not None:
         none = np.zeros(3)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros((2, 2)), np.zeros(4), none, none + 1, constant)
-    parts, first = [], [np.zeros(1, np.int64)]
-    for _, _, data, offsets in slices(pa.array([r[0] for r in rows], pa.string())):
+    size, parts, first = 1 << BITS, [], [np.zeros(1, np.int64)]
+    for _, _, data, offsets in slices(pa.array([r[0] for r in rows], pa.string()), 1 << 18):
         words = find_words(data, offsets)
         parts.append(features(words))
         first.append(words.first[1:] + first[-1][-1])
-    index, first = np.concatenate(parts, 1), np.concatenate(first)
-    size, text = 1 << BITS, np.repeat(np.arange(len(y)), np.diff(first))
-    suspect = np.zeros(index.shape[1], bool)
-    few = max(FEWEST, COMMON * y.sum())
-    for row in index:
-        seen = np.unique(text * size + row)
-        bad = np.bincount(seen % size, y[seen // size], size)
-        all_ = np.bincount(seen % size, minlength=size)
-        suspect |= ((bad >= SUSPECT * all_) & (all_ >= few))[row]
-    label = (suspect & (y[text] == 1)).astype(float)
+    first = np.concatenate(first)
+    index = np.empty((1 + len(PREFIXES), int(first[-1])), np.int32)
+    at = 0
+    while parts:
+        part = parts.pop(0)
+        index[:, at:at + part.shape[1]] = part
+        at += part.shape[1]
+    parts = _parts(first)
+    bad, every = np.zeros((len(index), size)), np.zeros((len(index), size))
+    for a, b in parts:
+        text = np.repeat(np.arange(a, b), np.diff(first[a:b + 1]))
+        for k, row in enumerate(index[:, first[a]:first[b]]):
+            seen = np.unique(text * size + row)
+            bad[k] += np.bincount(seen % size, y[seen // size], size)
+            every[k] += np.bincount(seen % size, minlength=size)
+    doubtful = (bad >= SUSPECT * every) & (every >= max(FEWEST, COMMON * y.sum()))
+    label = np.zeros(index.shape[1], bool)
+    for a, b in parts:
+        part = index[:, first[a]:first[b]]
+        hit = np.any([d[row] for d, row in zip(doubtful, part, strict=True)], axis=0)
+        label[first[a]:first[b]] = hit & np.repeat(y[a:b] == 1, np.diff(first[a:b + 1]))
+    del bad, every
     weights, square = np.zeros(size), np.full(size, 1e-3)
     bias, pair = -3.0, np.zeros((2, 2))
     square_pair, square_bias = np.full((2, 2), 1e-3), 1e-3
-    inner = np.ones(len(label), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    j = np.flatnonzero(inner)
     for _ in range(rounds):  # gradient of the log likelihood; steps shrink with what a weight has moved (AdaGrad)
-        p = marginals(weights[index].sum(0) + bias, first, pair)
-        g = label - p
-        for row in index:
-            d = np.bincount(row, g, size) - 0.01 * weights
+        grad, d_bias, have, want, pairs = np.zeros((len(index), size)), 0.0, np.zeros((2, 2)), np.zeros((2, 2)), 0
+        for a, b in parts:
+            lo, hi = first[a], first[b]
+            p = marginals(_unary(weights, index[:, lo:hi], bias), first[a:b + 1] - lo, pair)
+            q = label[lo:hi].astype(float)
+            for g, row in zip(grad, index[:, lo:hi], strict=True):
+                g += np.bincount(row, q - p, size)
+            d_bias += (q - p).sum()
+            inner = np.ones(hi - lo, bool)
+            starts = (first[a:b] - lo)[np.diff(first[a:b + 1]) > 0]
+            inner[starts] = False
+            j = np.flatnonzero(inner)
+            pairs += len(j)
+            for total, x in ((have, q), (want, p)):  # pair marginals are taken as products of their ends
+                total += np.stack([1 - x[j - 1], x[j - 1]]) @ np.stack([1 - x[j], x[j]], 1)
+        for g in grad:
+            d = g - 0.01 * weights
             square += d * d
             weights += 0.5 * d / np.sqrt(square)
-        d = g.sum()
-        square_bias += d * d
-        bias += 0.5 * d / np.sqrt(square_bias)
-        have = np.array([[((1 - label[j - 1]) * (1 - label[j])).sum(), ((1 - label[j - 1]) * label[j]).sum()],
-                         [(label[j - 1] * (1 - label[j])).sum(), (label[j - 1] * label[j]).sum()]])
-        want = np.array([[((1 - p[j - 1]) * (1 - p[j])).sum(), ((1 - p[j - 1]) * p[j]).sum()],
-                         [(p[j - 1] * (1 - p[j])).sum(), (p[j - 1] * p[j]).sum()]])
-        d = (have - want) / max(1, len(j)) * 100  # pair marginals are taken as products of their ends
+        square_bias += d_bias * d_bias
+        bias += 0.5 * d_bias / np.sqrt(square_bias)
+        d = (have - want) / max(1, pairs) * 100
         square_pair += d * d
         pair = np.clip(pair + 0.1 * d / np.sqrt(square_pair), -3, 3)
     weights = weights.astype(np.float32)
-    p = marginals(weights[index].sum(0, dtype=np.float64) + bias, first, pair)
-    x = figures(p, first)
+    x = np.concatenate([figures(marginals(_unary(weights, index[:, first[a]:first[b]], bias), first[a:b + 1] - first[a], pair),
+                                first[a:b + 1] - first[a]) for a, b in parts])
     middle, width = x.mean(0), x.std(0) + 1e-6
     return Model(weights, bias, pair, _logistic((x - middle) / width, y), middle, width)
 
 
+def _parts(first: np.ndarray, words: int = 100_000) -> list[tuple[int, int]]:
+    """Ranges of whole texts of about so many words, so that fitting needs little memory besides the features."""
+    cuts = np.unique(np.searchsorted(first, np.arange(0, first[-1] + words, words)))
+    cuts = np.unique(np.r_[0, np.minimum(cuts, len(first) - 1), len(first) - 1])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _unary(weights: np.ndarray, index: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(index.shape[1], bias)
+    for row in index:
+        out += weights[row]
+    return out
+
+
 def _spans(words: Words, p: np.ndarray, letters: np.ndarray, i: int, level: float) -> list[dict]:
     """Runs of words at or above ``level`` as (start, end) characters of text i."""
     a, b = words.first[i], words.first[i + 1]
