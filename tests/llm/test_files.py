@@ -54,6 +54,20 @@ def test_round_trip(spark, archive):
     assert uris == {"http://a/1", "http://b/2", None, "http://a/%0D%0AX: y", "http://a/5", "http://c"}
 
 
+def test_the_query_gives_revisits_their_full_length(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    pages(spark, DATA).select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to)
+                  for r in QUERIES["op1_warc"](spark, str(tmp_path)).collect())
+    first, want = {"<p>same</p>": 1, "": 4}, Counter()
+    for i, _, h in DATA:
+        h = h or ""
+        again = h in first and first[h] != i
+        want[i, "revisit" if again else "response", len(h.encode()), digest(h), first[h] if again else None] += 1
+    assert got == want and any(t == "revisit" and n for _, t, n, _, _ in got)
+
+
 def test_predicates_are_pushed_and_payloads_left_alone(spark, archive, monkeypatch):
     from tidemark.llm import warc
 

@@ -27,9 +27,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.format("warc").schema(
         "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, "
         "payload binary").load(at)
-    return back.select(warc.page_id("record_id").alias("page_id"),
-                       F.coalesce(F.length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
-                       "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+    # A revisit has no payload, only its length; others are measured, so that payloads are read and checked.
+    size = F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.length("payload").cast("long"))
+    return back.select(warc.page_id("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type",
+                       warc.page_id("refers_to").alias("refers_to"))
 
 
 def word_bpe() -> str:
