@@ -149,6 +149,22 @@ def test_copies_keep_their_text_and_small_hosts_have_no_template():
     assert he.extract([site(k) for k in range(3)])[2] == "Title 2 Read on, dear guest. Body of page 2 & more second 2 line one two 2"
 
 
+def article(*paragraphs):
+    return "<article>" + "".join(f"<p>{x}</p>" for x in paragraphs) + "</article>"
+
+
+def test_only_the_very_text_of_the_template_goes():
+    from tidemark.llm import html_extract as he
+
+    data = [article("the same line", f"own {k}", f"more {k}", f"end {k}") for k in range(9)]
+    other = article("a line of my own", "own x", "more x", "end x")
+    assert he.extract([*data, other])[-1] == "a line of my own own x more x end x"
+    assert he.extract([*data, other])[0] == "own 0 more 0 end 0"
+    short = [article("a long line of the template, far longer than all the rest", f"own {k}") for k in range(9)]
+    assert he.extract(short) == [f"own {k}" for k in range(9)]
+    assert he.extract(short[:1] * 9 + short[1:3])[0].startswith("a long line")  # three distinct pages
+
+
 def test_tree_matching_is_best_in_order():
     from tidemark.llm import html_extract as he
 
