@@ -7,6 +7,7 @@ import json
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,40 @@ def test_only_the_very_text_of_the_template_goes():
     assert he.extract(short[:1] * 9 + short[1:3])[0].startswith("a long line")  # three distinct pages
 
 
+def test_templates_belong_to_hosts_whatever_the_partitions(spark):
+    from tidemark.llm import html_extract as he
+
+    long = "x" * 1_100_000
+    data = [(k, f"http://large/{k}", article("the same line", f"{long} {k}")) for k in range(6)]
+    data += [(100 + k, f"http://h{k % 3}/{k}", article(f"line of {k % 3}", f"own {k}")) for k in range(18)]
+    want = {k: f"{long} {k}" for k in range(6)} | {100 + k: f"own {k}" for k in range(18)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {r.page_id: r.text for r in he.main_text(pages(spark, data).repartition(5)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_child_lists_are_matched_in_order():
+    from tidemark.llm import html_extract as he
+
+    a = he.parse("<div>" + "".join(f"<div class=c{k}><i>1</i></div>" for k in range(300)) + "</div>")
+    b = he.parse("<div><p>new</p>" + "".join(f"<div class=c{k}><b>1</b></div>" for k in range(300)) + "</div>")
+    for t in (a, b):
+        he.shaped(t)
+    assert he.Matcher().score(a, b) == 302
+    rng = np.random.default_rng(0)
+    table = rng.integers(0, 3, (2100, 2200))
+    best = np.zeros(2201, np.int64)
+    for got in table:
+        best[1:] = np.maximum(best[1:], best[:-1] + got)
+        best = np.maximum.accumulate(best)
+    out = he.in_order(2100, 2200, lambda i: table[i])
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:])) and sum(table[i, j] for i, j in out) == best[-1]
+
+
 def test_tree_matching_is_best_in_order():
     from tidemark.llm import html_extract as he
 
