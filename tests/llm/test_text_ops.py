@@ -246,6 +246,28 @@ def test_scores_and_counts(spark):
     assert lm.score(messy.empty(spark), path).count() == 0
 
 
+def test_pieces_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    import public_tokenizers
+
+    from tidemark.llm import lm_score as lm
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    data = [(i, t) for i, t in messy.rows() if t and len(t) < 5000] + [(400 + k, "the frequent words of all rows") for k in range(9)]
+    docs = messy.table(spark, data)
+    one = lm.fit(docs.repartition(1), path, 7, 2, "doc_id", "text")
+    many = lm.fit(docs.repartition(9), path, 7, 2, "doc_id", "text")
+    learn = lambda i: (zlib.crc32(str(i).encode()) % 7 if i is not None else 0) != 2
+    texts = [t for i, t in data if learn(i)]
+    words = sorted({w for t in texts for w in lower(t).encode().split()})
+    size, v = np.array([len(w) for w in words]), lm.load(path)
+    want = np.zeros(len(v.hashes) + 257)
+    lm.word_scores(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, v, np.ones(len(words)), want[:-1])
+    want[-1] = len(texts)
+    for pieces, rows, held in (one, many):
+        assert (rows, held) == (len(texts), sum(len(t.encode()) for _, t in data))
+        assert np.allclose(pieces.log_p, v.with_counts(want).log_p, rtol=0, atol=1e-9)
+
+
 # ---- 10: line frequency
 
 def test_line_verdicts_equal_brute_force(spark):

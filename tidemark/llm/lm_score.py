@@ -7,8 +7,9 @@ never cross words.
 
 Weights start from the file's scores (ranks, taken as frequencies 1/(rank + 3)) and are re-estimated by a pass of expectation
 maximisation over the words of the training rows: forward and backward recursions give each piece's expected count. The lattice
-is there for words the training rows don't have, so it learns from distinct words, not from their uses. Counts are combined
-per task, so what is gathered are at most as many numbers as there are pieces.
+is there for words the training rows don't have, so it learns from distinct words, not from their uses: words are made distinct over
+all training rows first, and each weighs 1, however the rows are dealt out. Counts are combined per task, so what is gathered are at
+most as many numbers as there are pieces.
 
 A word is also a path of its own, weighted by its count c: its probability is (1 - g) c / N + g lattice, and g = (s + 1) / (N + 1)
 is the share of words to expect that were never seen (Good-Turing: s words were seen once). The end token is weighed likewise.
@@ -197,31 +198,43 @@ class Distinct:
         return np.cumsum(self.sizes) - self.sizes
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lower-cased words of training texts; a word may come again after ``_FLUSH`` others and from other tasks."""
+    def close(seen: Distinct) -> pa.RecordBatch:
+        offsets = np.r_[0, np.cumsum(seen.sizes)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(seen.sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(seen.letters.tobytes())])
+        return pa.RecordBatch.from_arrays([words], ["word"])
+
+    seen = Distinct()
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            words = find_words(data, offsets)
+            seen.add(words, np.ones(len(words.starts)))
+            if len(seen.hashes) > _FLUSH:
+                yield close(seen)
+                seen = Distinct()
+    yield close(seen)
+
+
 def _expect(shared):
-    """Rows (piece, n) of expected counts over training rows (learn, text); -1: training rows, -2: bytes of all texts."""
+    """Rows (piece, n) of expected counts over rows (word), each of which weighs 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        expected, seen, rows, size = np.zeros(len(v.hashes) + 256), Distinct(), 0, 0
+        expected, held = np.zeros(len(v.hashes) + 256), []
 
         def flush() -> None:
-            word_scores(seen.letters, seen.starts(), seen.sizes, v, np.ones(len(seen.sizes)), expected)
+            letters = np.frombuffer(b"".join(held), np.uint8)
+            sizes = np.array([len(w) for w in held], np.int64)
+            word_scores(letters, np.cumsum(sizes) - sizes, sizes, v, np.ones(len(held)), expected)
 
         for batch in batches:
-            learn = batch.column(0).to_numpy(False)
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                size += len(data)
-                mine = learn[lo:hi]
-                rows += int(mine.sum())
-                words = find_words(data, offsets)
-                use = mine[words.text_of]
-                words.starts, words.ends = words.starts[use], words.ends[use]
-                seen.add(words, np.ones(len(words.starts)))
-                if len(seen.hashes) > _FLUSH:
-                    flush()
-                    seen = Distinct()
+            held += batch.column(0).to_pylist()
+            if len(held) > _FLUSH:
+                flush()
+                held = []
         flush()
         used = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1, -2]), pa.array(np.r_[expected[used], rows, size])], ["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(expected[used])], ["piece", "n"])
     return run
 
 
@@ -230,15 +243,15 @@ def fit(docs: DataFrame, path: str, parts: int, held: int, id_col: str, text_col
     v = load(path)
     shared = docs.sparkSession.sparkContext.broadcast(v)
     rows = keyed(docs, id_col, text_col).select(learns(parts, held).alias("learn"), "text")
-    found = rows.mapInArrow(_expect(shared), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    counts, extra = np.zeros(len(v.hashes) + 257), {}
+    size = rows.agg(F.coalesce(F.sum(F.col("learn").cast("long")), F.lit(0)).alias("learn"),
+                    F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    words = rows.filter("learn").select("text").mapInArrow(_vocabulary, "word binary").distinct()
+    found = words.mapInArrow(_expect(shared), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(v.hashes) + 257)
     for r in found:
-        if r.piece < 0:
-            extra[r.piece] = int(r.n)
-        else:
-            counts[r.piece] = r.n
-    counts[-1] = extra.get(-1, 0)
-    return (v.with_counts(counts) if extra.get(-1) else v), extra.get(-1, 0), extra.get(-2, 0)
+        counts[r.piece] = r.n
+    counts[-1] = size.learn
+    return (v.with_counts(counts) if size.learn else v), size.learn, size.bytes
 
 
 def learns(parts: int, held: int):
