@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html_extract, line_quality, lm_score, minhash_dedup, quality_model, substring_dedup, toxicity, warc
+from tidemark.llm import (bpe, decontaminate, filter_audit, html_extract, line_quality, lm_score, minhash_dedup, quality_model, substring_dedup,
+                          toxicity, warc)
 from tidemark.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,39 @@ base AS (
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= 0.5 * n_words AS kept
 FROM judged"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (SELECT coalesce(doc_id, 9223372036854775807) AS doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+        min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+        CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * capitals > 10 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < w.doc_id THEN 16 ELSE 0 END AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 4, 8, 16]) AS bit, unnest(['A', 'B', 'C', 'D', 'E']) AS name),
+orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+           FROM letters a, letters b, letters c, letters d, letters e
+           WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[:step - 1]), 0) AS BIGINT) AS gone
+          FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+s AS (SELECT part, filter_order, step, bit,
+        sum(n) FILTER (fails & (gone | bit) = 0) AS kept, sum(n) FILTER (fails & bit > 0 AND fails & gone = 0) AS removed,
+        sum(n) FILTER (fails & bit > 0 AND fails & gone > 0) AS redundant, sum(n) FILTER (fails = bit) AS unique_fails,
+        sum(n_good) FILTER (fails & bit > 0 AND fails & gone = 0) AS good_lost,
+        sum(n_toxic) FILTER (fails & bit > 0 AND fails & gone = 0) AS toxic_lost
+      FROM g, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM s"""
