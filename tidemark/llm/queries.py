@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (bpe, decontaminate, filter_audit, html_extract, line_quality, lm_score, minhash_dedup, quality_model, substring_dedup,
-                          toxicity, warc)
+                          token_alignment, toxicity, warc)
 from tidemark.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,18 @@ SELECT *, NOT base_failed AND n_words - n_removed_words >= 50 AND n_words - n_re
 FROM judged"""
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.audit(table(spark, sf_dir, "documents"), byte_bpe(), piece_vocabulary())
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
