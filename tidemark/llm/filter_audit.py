@@ -4,14 +4,16 @@ Which filters a document fails doesn't depend on the others, so an order never h
 sorted ids of the documents that fail it. What a filter removes after some others is its list without the union of theirs.
 
 1. One pass over the texts judges filters A to D and takes the text's SHA-256; a text is a copy (E) if a smaller id has the same digest.
-2. Documents of one part, id, set of failed filters and labels are counted together before anything is sorted, so repeated rows
-   are one posting with a count.
+2. What was judged is written once, so that the smallest id of each digest and the documents it is joined with are read from
+   there; a text with very many copies is a skewed key of that join, which Spark splits.
 3. Each task sorts its documents by part and id and cuts them into id ranges of at most ``RANGE`` postings. Of each range it keeps
    a sorted list of ids for each filter, merges the lists (k-way, two at a time, each id of the shorter one galloping through the longer one)
    into the union for every set of filters, and takes every filter's list without it. The sizes are all that leaves the task.
    Ranges are disjoint, so sizes add up, and no part or id has to meet in one task.
 4. Sizes are summed for each part, filter and set of filters applied before it (80 rows a part) and dealt to the 120 orders.
 
+Step 2 runs a job while the query is built.
+
 Nulls and odd rows: a null text is empty; a null part is the part of the empty string; a null id comes after every other id; rows that
 repeat an id are documents of their own, and copies only of texts of smaller ids; a label counts as 1 if any row of the
 id says so, and no label as 0. No documents give no rows.
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import find_words, slices
+from tidemark.llm.components import stored
 from tidemark.llm.tables import LAST_ID
 
 FILTERS = "ABCDE"
@@ -78,13 +81,12 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
                        F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seen = rows.mapInArrow(_judged, "id long, part string, fails int, digest binary") \
-        .groupBy("digest", "id", "part", "fails").agg(F.count("*").alias("n"))
+    seen = stored(rows.mapInArrow(_judged, "id long, part string, fails int, digest binary"), "judged")
     first = seen.groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("first"), F.count("*").alias("n_of")) \
         .filter("n_of > 1").select("of", "first")
     found = seen.join(first, F.col("digest") == F.col("of"), "left")
     copy = F.when(F.col("id") > F.col("first"), COPY).otherwise(0)
-    return found.select("id", "part", (F.col("fails") + copy).alias("fails"), "n")
+    return found.select("id", "part", (F.col("fails") + copy).alias("fails"))
 
 
 def gallop(ids: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = {c: F.max(F.when(F.col(c).cast("int") == 1, 1).otherwise(0)).alias(c) for c in ("quality", "toxic")}
     known = labels.select(F.col(id_col).cast("long").alias("of"), "quality", "toxic").filter("of IS NOT NULL AND (quality = 1 OR toxic = 1)") \
         .groupBy("of").agg(*one.values())
-    weight = {"removed": F.col("n"), "good_lost": F.col("n") * F.coalesce("quality", F.lit(0)), "toxic_lost": F.col("n") * F.coalesce("toxic", F.lit(0))}
+    weight = {"removed": F.lit(1), "good_lost": F.coalesce("quality", F.lit(0)), "toxic_lost": F.coalesce("toxic", F.lit(0))}
     rows = failures(docs, id_col, text_col, part_col).join(known, F.col("id") == F.col("of"), "left") \
         .select("part", "fails", *(w.cast("long").alias(c) for c, w in weight.items()), "id")
     found = rows.sortWithinPartitions("part", "id").mapInArrow(
