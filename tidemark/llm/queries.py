@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import (bpe, decontaminate, filter_audit, html_extract, line_quality, lm_score, minhash_dedup, quality_model, substring_dedup,
-                          token_alignment, toxicity, warc)
+from tidemark.llm import (bpe, decontaminate, filter_audit, html_extract, line_quality, lm_score, minhash_dedup, projected_search, quality_model,
+                          substring_dedup, token_alignment, toxicity, warc)
 from tidemark.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,8 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
   CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
 FROM s"""
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
