@@ -193,7 +193,7 @@ def test_sliding_count_and_running_count_with_a_hot_key(spark):
     want = {i: sum(1 for _, p, u in rows if p == ip and t - timedelta(seconds=90) < u <= t) for i, ip, t in rows}
     assert got == want
     flagged = log_df(spark, rows).withColumn("f", F.col("tie") % 7 == 0)
-    run = {r.tie: r.n for r in wn.running_count(flagged, "ip", "ts", "tie", "f", "n", cell_seconds=500).collect()}
+    run = {r.tie: r.n for r in wn.running_count(flagged, "ip", "ts", "tie", "f", "n", blocks=5).collect()}
     seen, expect = {}, {}
     for i, ip, _ in rows:
         seen[ip] = seen.get(ip, 0) + (i % 7 == 0)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.numeric import default_zero
 from tidemark.functions.time import BUCKET_SECONDS, ntz
+from tidemark.operators.blocks import last_range
 
 ENDPOINT = ["ip", "port"]
 
@@ -63,22 +64,16 @@ def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_anti")
 
 
-def ip_country(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
+def ip_country(df: DataFrame, ranges: DataFrame, ip: str = "ip", blocks: int | None = None) -> DataFrame:
     """Country of the address range holding ``ip``, or ``N/A``.
 
-    ``ranges(lo, hi, country)`` must not overlap. Both sides are keyed by the upper 16 bits, so this
-    is an equi-join: the ranges grow to at most 65536 rows more than there are.
+    ``ranges(lo, hi, country)`` must not overlap. An as-of join: the last range that starts at or before the address is looked at
+    for its end. Nothing is grouped by address or prefix.
     """
-    by_prefix = ranges.select(
-        tx.ip_number(F.col("lo")).alias("lo_n"), tx.ip_number(F.col("hi")).alias("hi_n"), "country"
-    ).select("lo_n", "hi_n", "country", F.explode(F.sequence(
-        F.shiftright("lo_n", 16), F.shiftright("hi_n", 16))).alias("prefix"))
-    left = df.withColumn("ip_n", tx.ip_number(F.col(ip)))
-    hit = (F.shiftright(left["ip_n"], 16) == by_prefix["prefix"]) & left["ip_n"].between(
-        by_prefix["lo_n"], by_prefix["hi_n"])
-    return (left.join(by_prefix, hit, "left")
-            .withColumn("country_code", F.coalesce("country", F.lit("N/A")))
-            .drop("ip_n", "lo_n", "hi_n", "prefix", "country"))
+    starts = ranges.select(tx.ip_number(F.col("lo")).alias("n"), F.struct(tx.ip_number(F.col("hi")).alias("hi"), "country").alias("span")).filter("n IS NOT NULL")
+    found = last_range(df.select(F.struct(*df.columns).alias("row"), tx.ip_number(F.col(ip)).alias("n")), starts, blocks)
+    inside = F.when(F.col("n") <= F.col("span.hi"), F.col("span.country"))
+    return found.select("row.*", F.coalesce(inside, F.lit("N/A")).alias("country_code"))
 
 
 def resolve_labels(df: DataFrame, names: DataFrame, id_col: str = "id") -> DataFrame:

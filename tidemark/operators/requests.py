@@ -46,10 +46,10 @@ def threat_summary(log: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("threat_type")).alias("threat_types"))
 
 
-def running_threats(log: DataFrame, cell_seconds: int = 60) -> DataFrame:
-    """Each request with the client's threat count so far."""
-    flagged = with_threats(log).withColumn("is_threat", F.col("threat_type").isNotNull())
-    return running_count(flagged, "ip", "timestamp", "id", "is_threat", "threats_so_far", cell_seconds)
+def running_threats(log: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(id, ip, timestamp, threats_so_far): each request with the client's threat count so far; the log is read once."""
+    flagged = log.select("id", "ip", "timestamp", threat_type(F.col("full_path")).isNotNull().alias("is_threat"))
+    return running_count(flagged, "ip", "timestamp", "id", "is_threat", "threats_so_far", blocks).drop("is_threat")
 
 
 def auto_blocks(log: DataFrame, blocked: DataFrame, admins: Iterable[str] = (),

@@ -2,8 +2,8 @@
 
 * Latest-n and first-occurrence use a ``row_number() <= n`` filter, which Spark also applies before
   the shuffle (WindowGroupLimit): a hot key sends n rows per task.
-* Running totals and sliding counts cut a key's timeline into cells, so that a key is spread over as
-  many groups as it has busy cells.
+* Running totals are prefix sums over equal blocks of the sorted rows (``operators.blocks``); sliding counts cut a key's
+  timeline into cells, so that a key is spread over as many groups as it has busy cells.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.time import epoch_micros
+from tidemark.operators.blocks import running_counts
 
 
 def share_of_total(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
@@ -57,23 +58,12 @@ def _cell(micros: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: str, out: str,
-                  cell_seconds: int = 60) -> DataFrame:
+def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: str, out: str, blocks: int | None = None) -> DataFrame:
     """Running number of rows with ``flag``, per key in (ts, tie) order.
 
-    Flagged rows are counted per (key, cell) first, the cells are added up, and rows only run
-    within their own cell on top of that offset.
+    Prefix sums over blocks of equal size of the sorted order, so that a key's burst in one instant is many blocks.
     """
-    cells = df.withColumn("_cell", _cell(epoch_micros(F.col(ts)), cell_seconds))
-    earlier = W.partitionBy(key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (cells.groupBy(key, "_cell").agg(F.count_if(F.col(flag)).alias("_n"))
-               .select(key, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    inside = (W.partitionBy(key, "_cell").orderBy(ts, tie)
-              .rowsBetween(W.unboundedPreceding, 0))
-    return (cells.join(offsets, [key, "_cell"])
-            .withColumn(out, (F.col("_before") + F.sum(F.col(flag).cast("bigint")).over(inside))
-                        .cast("bigint"))
-            .drop("_cell", "_before"))
+    return running_counts(df.withColumn(out, F.coalesce(F.col(flag), F.lit(False))), [key], [ts, tie], [out], blocks)
 
 
 def window_count(df: DataFrame, key: str, ts: str, seconds: int = 15, out: str = "requests_in_window",

@@ -919,7 +919,7 @@ def _(spark, sf):
 @query("threat_running_count", sql("""
 SELECT id, ip, count(threat_type) OVER (PARTITION BY ip ORDER BY timestamp, id) AS threats_so_far FROM classified"""))
 def _(spark, sf):
-    return rq.running_threats(b.requests(spark, sf), cell_seconds=3600).select("id", "ip", "threats_so_far")
+    return rq.running_threats(b.requests(spark, sf)).select("id", "ip", "threats_so_far")
 
 
 @query("auto_block", sql("""
