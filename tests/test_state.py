@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import requests as rq
 from tidemark.operators import state
 from tidemark.operators import windows as wn
-from tidemark.operators.ordered_scan import chain_carries
 
 T0 = datetime(2024, 1, 1)
 
@@ -151,27 +150,6 @@ def test_admission_with_a_hot_client(spark):
     assert {r.tie: r.decision for r in done.collect()} == admission_model(rows, 4, 120, ["10.0.0.3"], ["10.0.0.4"])
 
 
-@pytest.mark.parametrize("adds_up", [False, True])
-def test_carries_go_round_until_nothing_changes(adds_up):
-    """Counting through five partitions of one key, each knowing only its own rows at first."""
-    sizes = {0: 3, 1: 4, 2: 5, 3: 6}
-    report = lambda pid, carry: (("k",), ("k",), (carry[0] if carry else 0) + sizes[pid], carry[0] if carry else 0, {})
-    calls = []
-
-    def refold(carries, pids):
-        calls.append(set(pids))
-        return {p: report(p, carries[p]) for p in pids}
-
-    def moved(end, begin, actual, facts):
-        return (end + actual - begin, True) if adds_up else (end, False)
-
-    reports = {p: report(p, None) for p in sizes}
-    reports[4] = (("k",), ("z",), 99, 0, {})
-    carries = chain_carries(reports, refold, moved)
-    assert {p: c[0] for p, c in carries.items()} == {1: 3, 2: 7, 3: 12, 4: 18}
-    assert calls == [] if adds_up else calls[0] == {1, 2, 3}
-
-
 def test_rounds_do_not_grow_with_the_partitions_of_a_hot_admin(spark):
     rows = [(i, "10.0.0.9", T0 + timedelta(milliseconds=400 * i), i % 5 == 0, None) for i in range(3000)]
     nobody = spark.createDataFrame([], "ip STRING")
@@ -220,3 +198,61 @@ def test_third_threat_blocks(spark):
     assert tuple(block) == ("a", "Auto-blocked: PATH_TRAVERSAL (detected 3 threats)", T0 + timedelta(seconds=4), True)
     assert rq.auto_blocks(log, none, admins=["a"]).count() == 0
     assert rq.auto_blocks(log, spark.createDataFrame([("a",)], "ip STRING")).count() == 0
+
+
+def pressure(seed, n=900):
+    """Clients that are quiet, bursty, always over the limit, or silent for long; times repeat."""
+    rng, rows, i = random.Random(seed), [], 0
+    for ip, gap in (("quiet", 30.0), ("burst", 0.0), ("always", 0.7), ("edge", 5.0)):
+        t = 0.0
+        for _ in range(n // 4):
+            t += gap if ip == "edge" else rng.expovariate(1 / gap) if gap else rng.choice([0, 0, 0, 0.2, 0.2, 40, 90])
+            rows.append((i, ip, T0 + timedelta(microseconds=int(t * 1e6))))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize("limit,seconds", [(2, 10), (5, 10), (3, 15)])
+def test_limiter_by_episodes_equals_the_loop(spark, limit, seconds):
+    rows = pressure(limit)
+    got = state.rate_limit(log_df(spark, rows), limit=limit, seconds=seconds, partitions=3).collect()
+    assert {r.tie: r.accepted for r in got} == limiter(rows, limit, seconds)
+    fold = state.RateFold(limit, seconds)
+    for ip in {r[1] for r in rows}:  # and all numbers are those of one fold over the whole client
+        own = sorted((t, i) for i, p, t in rows if p == ip)
+        import numpy as np
+
+        out, _ = fold.judge(np.array([int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)) for t, _ in own]), ())
+        mine = {r.tie: r for r in got if r.ip == ip}
+        for k, (_, i) in enumerate(own):
+            assert tuple(mine[i][c] for c in ("accepted", "remaining", "reset_s", "retry_s")) == tuple(out[c][k] for c in ("accepted", "remaining", "reset_s", "retry_s"))
+
+
+def test_episodes_are_cut_where_the_state_is_known(spark):
+    from tidemark.operators import episodes as ep
+
+    rows = [(i, "a", i * 1_000_000 + (i >= 50) * 10**9, not 20 <= i < 30 and i not in (60, 61)) for i in range(100)]
+    df = spark.createDataFrame(rows, "tie BIGINT, ip STRING, us BIGINT, calm BOOLEAN")
+    for span in (7_000_000, 10**12):
+        placed = ep.in_cells(df, "us", span, 0).filter("_own")
+        got = ep.episodes(placed, ["ip"], "us", "tie", "calm").collect()
+        assert {(r.tie, r._episode // 1_000_000, r.after_calm) for r in got} == {
+            *((i, 20, i == 20) for i in range(20, 30)), (60, 1060, True), (61, 1060, False)}
+
+
+@pytest.mark.parametrize("first_ok", [True, False])
+def test_backoff_of_servers_that_answer_for_hours(spark, first_ok):
+    """Long runs of answers are calm; pauses, failures and a stored back-off in between are not."""
+    rng, rows, t = random.Random(1), [], 0.0
+    for i in range(1500):
+        t += 200.0 if i % 400 != 399 else 200_000.0
+        ok = first_ok if i == 0 else not (500 <= i < 506 or i in (900, 901) or (i > 1300 and rng.random() < 0.4))
+        rows.append((i, "10.0.0.1", T0 + timedelta(seconds=t), ok))
+    steps = state.cooldown_steps(probes_df(spark, rows), partitions=4)
+    want, _ = cooldown_model(rows)
+    assert {r.tie: (r.probed, r.timeout, r.failures) for r in steps.collect()} == want
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+    stored = probes_df(spark, rows[:200]).withColumn("timeout", F.lit(5.0)).withColumn("failures", F.lit(4)).withColumn(
+        "skip_until", F.lit((T0 - datetime(1970, 1, 1)).total_seconds() + 900.0))
+    assert [r.probed for r in state.cooldown_steps(stored).orderBy("tie").limit(6).collect()] == [False] * 4 + [True] * 2

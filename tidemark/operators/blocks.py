@@ -89,7 +89,7 @@ class RunningCounts:
             first = tuple(batch.column(k)[0].as_py() for k in self.keys)
             counts = []
             for f, flag in enumerate(self.flags):
-                total = np.cumsum(batch.column(flag).to_numpy(zero_copy_only=False).astype(np.int64))
+                total = np.cumsum(batch.column(flag).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64))
                 base = np.repeat(np.where(starts > 0, total[starts - 1], 0), np.diff(np.append(starts, n)))
                 own = total - base
                 if first == last:

@@ -1,6 +1,12 @@
 """The state machines: back-off per server, rate limit and admission per client.
 
-Each is written once as a fold and used by both the batch scan and the streaming operators.
+* Threats add up and saturate: a client's count is a running sum, and it is closed from the row on that brings the sum to
+  the limit, or from a manual block; both are smallest positions per client and stretch between two unblockings. No fold is needed.
+* The limiter forgets after its window. A request with no more than the limit in its window, and none in doubt there, is accepted;
+  the others are folded by episodes (``operators.episodes``).
+* Back-off forgets after a long run of answers, which leaves the shortest timeout. The rest is folded by episodes.
+
+The folds are also those of the streaming operators.
 """
 
 from __future__ import annotations
@@ -9,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.text import is_admin
 from tidemark.functions.threats import threat_type
 from tidemark.functions.time import epoch_micros
-from tidemark.operators.ordered_scan import Fold, ordered_scan
+from tidemark.operators.blocks import running_counts
+from tidemark.operators.episodes import Fold, episodes, fold_sorted, in_cells
 from tidemark.schemas import flat_schema
 
 # Back-off of servers that do not answer, in seconds.
@@ -39,10 +47,12 @@ def next_cooldown(timeout: float, failures: int, skip_until: float, now: float,
 class CooldownFold(Fold):
     """State: (timeout, failures, skip_until). Runs of answers are taken at once, and so are skipped attempts."""
 
-    columns = ("now_s", "ok", "timeout0", "failures0", "skip_until0")
+    columns = ("now_s", "ok", "timeout0", "failures0", "skip_until0", "after_calm")
     schema = flat_schema("probed BOOLEAN, timeout DOUBLE, failures INT, skip_until DOUBLE")
 
     def start(self, cols, i):
+        if cols["after_calm"][i]:
+            return MIN_TIMEOUT, 0, 0.0
         return float(cols["timeout0"][i]), int(cols["failures0"][i]), float(cols["skip_until0"][i])
 
     def run(self, cols, lo, hi, state, out):
@@ -182,36 +192,37 @@ class AdmissionFold(Fold):
                 out[name][a:a + stop] = values
         return int(so_far[-1]), blocked, accepted
 
-    def moved(self, end, begin, actual, facts):
-        """Threats before the partition are added as long as they block nobody; a block before it stays."""
-        if facts["commands"]:
-            return end, False
-        if actual[1]:
-            return actual, True
-        threats, blocked, accepted = end
-        more = threats + actual[0] - begin[0]
-        if blocked or begin[1] or (facts["guests"] and more >= self.block_at):
-            return end, False
-        return (more, blocked, accepted), tuple(begin[2]) == tuple(actual[2])
 
-    def facts(self, cols, lo, hi):
-        return {"commands": bool(pd.notna(cols["command"][lo:hi]).any()),
-                "guests": not cols["is_admin"][lo:hi].astype(bool).all()}
+# Answers in a row after which a timeout of up to 84 s has shrunk to the shortest one, and the time looked back for them.
+SETTLED, SETTLED_SECONDS = 64, 4 * 3600
 
 
 def cooldown_steps(probes: DataFrame, partitions: int | None = None) -> DataFrame:
     """``probes(ip, port, ts, tie, ok)`` in order, each with the back-off after it.
 
     Stored back-off, if any, comes in as ``timeout, failures, skip_until`` (see ``with_state``).
+
+    An answer is calm if ``SETTLED`` attempts of the last hours, and all that may have led to skipping one of them, were
+    answers: the timeout is the shortest then, whatever came before.
     """
     start = {"timeout": START_TIMEOUT, "failures": 0, "skip_until": 0.0}
-    given = set(probes.columns)
+    given, keys = set(probes.columns), ["ip", "port"]
+    kept = [c for c in probes.columns if c not in start]
     prepared = probes.select(
-        *[c for c in probes.columns if c not in start],
-        (epoch_micros(F.col("ts")) / F.lit(1e6)).alias("now_s"),
+        *kept, epoch_micros(F.col("ts")).alias("_us"), (epoch_micros(F.col("ts")) / F.lit(1e6)).alias("now_s"),
         *[(F.col(c) if c in given else F.lit(v)).alias(c + "0") for c, v in start.items()])
-    done = ordered_scan(prepared, ["ip", "port"], ["now_s", "tie"], CooldownFold(), partitions)
-    return done.drop("now_s", "timeout0", "failures0", "skip_until0")
+    back = SETTLED_SECONDS * MICROS
+    reach = back + MAX_SKIP * MICROS
+    cell = W.partitionBy(*keys, "_cell").orderBy("_us")
+    ok = F.coalesce("ok", F.lit(False))
+    calm = (ok & (F.count_if(~ok).over(cell.rangeBetween(-reach, 0)) == 0)
+            & (F.count(F.lit(1)).over(cell.rangeBetween(-back, -1)) >= SETTLED)
+            & (F.count(F.lit(1)).over(cell.rangeBetween(0, 0)) == 1) & (F.col("skip_until0") * MICROS <= F.col("_us") - back))
+    placed = in_cells(prepared, "_us", 20 * reach, reach).withColumn("_calm", calm).filter("_own")
+    settled = {"probed": F.lit(True), "timeout": F.lit(MIN_TIMEOUT), "failures": F.lit(0), "skip_until": F.lit(0.0)}
+    quiet = placed.filter("_calm").select(*kept, *[v.alias(c) for c, v in settled.items()])
+    folded = fold_sorted(episodes(placed, keys, "_us", "tie", "_calm"), [*keys, "_episode"], ["_us", "tie"], CooldownFold(), partitions)
+    return quiet.unionByName(folded.select(*kept, *settled))
 
 
 def cooldown_state(steps: DataFrame) -> DataFrame:
@@ -231,10 +242,27 @@ def load_cooldowns(stored: DataFrame) -> DataFrame:
 
 def rate_limit(requests: DataFrame, key: str = "ip", limit: int = MAX_REQUESTS,
                seconds: int = WINDOW_SECONDS, partitions: int | None = None) -> DataFrame:
-    """``requests(ip, ts, tie)`` with the limiter's verdict. Rejected requests take no room."""
-    prepared = requests.withColumn("now_us", epoch_micros(F.col("ts")))
-    done = ordered_scan(prepared, [key], ["now_us", "tie"], RateFold(limit, seconds), partitions)
-    return done.drop("now_us")
+    """``requests(ip, ts, tie)`` with the limiter's verdict. Rejected requests take no room.
+
+    A request is *sure* if its window holds no more requests than the limit, and calm if all in its window are: then all of them were
+    accepted, and its verdict is a count. Others are folded, with the window of requests before them.
+    """
+    window = seconds * MICROS
+    kept = requests.columns
+    cell = W.partitionBy(key, "_cell").orderBy("now_us")
+    near, n = cell.rangeBetween(-(window - 1), 0), F.count(F.lit(1))
+    placed = in_cells(requests.withColumn("now_us", epoch_micros(F.col("ts"))), "now_us", 20 * window, 3 * window, window)
+    # The place comes first: sorted by time and tie, the rows are in order for all that follows.
+    judged = (placed.withColumn("_place", F.row_number().over(W.partitionBy(key, "_cell").orderBy("now_us", "tie")))
+              .withColumn("_sure", n.over(near) <= limit).withColumn("_oldest", F.min("now_us").over(near))
+              .withColumn("_inside", (F.col("_place") - n.over(cell.rangeBetween(W.unboundedPreceding, -window))).cast("int"))
+              .withColumn("_calm", F.min("_sure").over(near))
+              .withColumn("_apart", F.min("_calm").over(cell.rangeBetween(0, window - 1))).filter("_own"))
+    wait = F.expr(f"CAST(({window} - (now_us - _oldest)) div {MICROS} AS INT)")
+    verdict = {"accepted": F.lit(True), "remaining": limit - F.col("_inside"), "reset_s": wait, "retry_s": F.lit(0)}
+    quiet = judged.filter("_calm").select(*kept, *[v.alias(c) for c, v in verdict.items()])
+    folded = fold_sorted(episodes(judged, [key], "now_us", "tie", "_apart", window), [key, "_episode"], ["now_us", "tie"], RateFold(limit, seconds), partitions)
+    return quiet.unionByName(folded.filter("NOT _calm").select(*kept, *verdict))
 
 
 def admission_input(requests: DataFrame, admins=()) -> DataFrame:
@@ -250,9 +278,40 @@ def admit(requests: DataFrame, blocked: DataFrame, admins=(), limit: int = MAX_R
           seconds: int = WINDOW_SECONDS, block_at: int = BLOCK_AT,
           partitions: int | None = None) -> DataFrame:
     """``requests(ip, ts, tie, full_path [, command])`` with the decision on each."""
+    has_commands = "command" in requests.columns
     marks = blocked.select("ip", F.lit(True).alias("blocked0"))
     prepared = (admission_input(requests, admins).join(marks, "ip", "left")
                 .withColumn("blocked0", F.coalesce("blocked0", F.lit(False))))
-    done = ordered_scan(prepared, ["ip"], ["now_us", "tie"],
-                        AdmissionFold(limit, seconds, block_at), partitions)
-    return done.drop("now_us", "blocked0", "is_admin")
+    kept = [c for c in prepared.columns if c not in ("now_us", "blocked0", "is_admin")]
+    request = F.col("command").isNull()
+    hit = request & F.col("threat").isNotNull()
+    flags = {"_hits": hit, "_stretch": F.col("command") == "unblock"} if has_commands else {"_hits": hit}
+    rows = running_counts(prepared.withColumns(flags), ["ip"], ["now_us", "tie"], list(flags), partitions)
+    if has_commands:  # counting begins anew with each unblocking
+        base = rows.filter("command = 'unblock'").groupBy("ip", "_stretch").agg(F.min("_hits").alias("_base"))
+        rows = _of_stretch(rows, base).withColumn("_hits", F.col("_hits") - F.coalesce("_base", F.lit(0))).drop("_base")
+    else:
+        rows = rows.withColumn("_stretch", F.lit(0).cast("bigint"))
+    at = F.struct("now_us", "tie")
+    closes = ~F.col("is_admin") & ((hit & (F.col("_hits") >= block_at)) | (~request & (F.col("command") != "unblock")))
+    closing = rows.filter(closes).groupBy("ip", "_stretch").agg(F.min(at).alias("_closed"), F.min_by("_hits", at).alias("_held"))
+    outset = F.col("blocked0") & (F.col("_stretch") == 0)
+    after = F.coalesce(at >= F.col("_closed"), F.lit(False))
+    told = F.when(F.col("is_admin") & (F.col("command") != "unblock"), "refused").otherwise(F.col("command"))
+    decided = _of_stretch(rows, closing).select(
+        *kept, F.when(~request, told).when(outset | after, "blocked").alias("decision"),
+        F.when(outset, F.lit(0)).when(after, F.col("_held")).otherwise(F.col("_hits")).cast("bigint").alias("threats"),
+        (request & ~outset & F.coalesce(at == F.col("_closed"), F.lit(False))).alias("auto_blocked"))
+    served = rate_limit(decided.filter("decision IS NULL"), "ip", limit, seconds, partitions)
+    numbers = ("remaining", "reset_s", "retry_s")
+    said = served.select(*kept, F.when(F.col("accepted"), "accepted").otherwise("limited").alias("decision"), F.lit(True).alias("logged"),
+                         "threats", "auto_blocked", *numbers)
+    rest = decided.filter("decision IS NOT NULL").select(
+        *kept, "decision", F.lit(False).alias("logged"), "threats", "auto_blocked", *[F.lit(0).alias(c) for c in numbers])
+    return said.unionByName(rest)
+
+
+def _of_stretch(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with what was found of their client and stretch between two unblockings, which is one row at most."""
+    own = found.withColumnsRenamed({"ip": "_ip", "_stretch": "_s"})
+    return rows.join(own, F.col("ip").eqNullSafe(F.col("_ip")) & (F.col("_stretch") == F.col("_s")), "left").drop("_ip", "_s")
