@@ -114,3 +114,68 @@ def test_late_rows_are_rolled_up(spark, store):
     write(spark.createDataFrame([(datetime(2024, 1, 3, 0, 30), 1, 1, 4), (datetime(2024, 1, 5, 1), 1, 1, 5)], schema), 1)
     got = {r.bucket: r.n for r in store.read("rollup_2h").groupBy("bucket").agg(F.sum("players").alias("n")).collect()}
     assert got == {datetime(2024, 1, 5): 8, datetime(2024, 1, 3): 4}
+
+
+def late_admission(spark, store, tmp_path, batches, limit=2, seconds=60, **kw):
+    """Runs batches of (id, minute, path) of one client through the stream and its sink, one file each."""
+    schema = "tie BIGINT, ip STRING, ts TIMESTAMP_NTZ, endpoint STRING, full_path STRING"
+    inbox, cp = tmp_path / "in", str(tmp_path / "cp")
+    for rows in batches:
+        df = spark.createDataFrame([(i, "10.0.0.1", T0 + timedelta(minutes=m), "e", p) for i, m, p in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(schema).parquet(str(inbox))
+        out = admission_stream(stream, spark.createDataFrame([], "ip STRING"), limit=limit, seconds=seconds, **kw)
+        run_admission(out, store, cp, available_now=True, limit=limit, seconds=seconds).awaitTermination()
+
+
+def test_a_request_two_days_late_is_decided_and_logged(spark, store, tmp_path):
+    day = 24 * 60
+    late_admission(spark, store, tmp_path, [
+        [(1, 0, "/"), (2, 0.5, "/"), (3, 5, "/")], [(4, 3 * day, "/")],
+        # Two days and more late: one finds its window full, one finds room, one is the second of two for one place.
+        [(5, 0.75, "/"), (6, 5.1, "/"), (7, 5.2, "/"), (8, 3 * day + 1, "/"), (9, day, "/.env")]])
+    assert {r.id for r in store.read("request_log").collect()} == set(range(1, 10))
+    verdicts = {r.id: r.accepted for r in store.read("request_verdicts").collect()}
+    assert verdicts == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False, 8: True, 9: True}
+    assert store.read("request_log").filter("id = 6").first().log_date == T0.date()
+
+
+def test_late_threats_block(spark, store, tmp_path):
+    late_admission(spark, store, tmp_path, [[(1, 100, "/.env"), (2, 200, "/.env")], [(3, 5, "/.env"), (4, 6, "/"), (5, 300, "/")]])
+    assert {r.id for r in store.read("request_log").collect()} == {1, 2}
+    (block,) = store.read("blocked_ips").collect()
+    assert (block.ip, block.auto_blocked, block.blocked_at) == ("10.0.0.1", True, T0 + timedelta(minutes=5))
+
+
+def test_state_of_silent_clients_and_vanished_servers_expires(spark, store, tmp_path):
+    import time
+
+    schema = "tie BIGINT, ip STRING, port INT, ts TIMESTAMP_NTZ, ok BOOLEAN"
+    for name, ttl, wait, failures in (("kept", 600_000, 0, [1, 2]), ("gone", 2_000, 4, [1, 1])):
+        inbox, cp = tmp_path / name, tmp_path / f"cp-{name}"
+        for n in range(2):
+            spark.createDataFrame([(n, "10.0.0.1", 1, T0 + timedelta(minutes=60 * n), False)], schema).coalesce(1).write.mode("append").parquet(str(inbox))
+            seen = []
+            steps = cooldown_stream(spark.readStream.schema(schema).parquet(str(inbox)), ttl_ms=ttl)
+            steps.writeStream.foreachBatch(lambda b, _: seen.extend(r.failures for r in b.collect())).outputMode("append").option(
+                "checkpointLocation", str(cp)).trigger(availableNow=True).start().awaitTermination()
+            assert seen == failures[n:n + 1]
+            time.sleep(wait)
+    # Two threats, a long silence, and a third: nobody is blocked, as the count has expired.
+    for ttl, blocks in ((600_000, 1), (2_000, 0)):
+        sub = tmp_path / f"adm{ttl}"
+        from tidemark.sources.tables import Store
+
+        own = Store(spark, str(sub / "tables"))
+        late_admission(spark, own, sub, [[(1, 0, "/.env"), (2, 1, "/.env")]], ttl_ms=ttl)
+        time.sleep(0 if blocks else 4)
+        late_admission(spark, own, sub, [[(3, 90, "/.env")]], ttl_ms=ttl)
+        assert own.read("blocked_ips").count() == blocks
+
+
+def test_late_rows_of_no_rows(spark):
+    from tidemark.operators import state
+
+    none = spark.createDataFrame([], "tie BIGINT, ip STRING, now_us BIGINT, batch BIGINT")
+    assert state.late_rows(none, "ip", "now_us", "batch").count() == 0
+    assert state.decide_late(none, none).count() == 0

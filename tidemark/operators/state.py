@@ -11,6 +11,8 @@ The folds are also those of the streaming operators.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -170,6 +172,24 @@ class AdmissionFold(Fold):
             i = c + 1
         return threats, blocked, accepted
 
+    def run_late(self, cols, n, threats, blocked, out):
+        """Rows before ``n`` are older than others already decided: blocks and threats are settled, the limiter is left open."""
+        for i in range(n):
+            what, admin = cols["command"][i], bool(cols["is_admin"][i])
+            if not pd.isna(what):
+                if what == "unblock":
+                    threats, blocked = 0, False
+                else:
+                    what, blocked = ("refused" if admin else what), blocked or not admin
+                out["decision"][i], out["threats"][i] = what, threats
+                continue
+            if not blocked and not pd.isna(cols["threat"][i]):
+                threats += 1
+                if threats >= self.block_at and not admin:
+                    blocked = out["auto_blocked"][i] = True
+            out["decision"][i], out["logged"][i], out["threats"][i] = ("blocked" if blocked else "late"), not blocked, threats
+        return threats, blocked
+
     def _requests(self, cols, a, b, threats, blocked, accepted, out):
         hit = pd.notna(cols["threat"][a:b])
         so_far = threats + np.cumsum(hit)
@@ -193,6 +213,34 @@ class AdmissionFold(Fold):
         return int(so_far[-1]), blocked, accepted
 
 
+class LateFold(Fold):
+    """The limiter on requests that come in after others of their time were decided. State: accepted times in the window.
+
+    ``fixed`` rows have been accepted and take their place whatever the count; they only come near late ones.
+    """
+
+    columns = ("now_us", "fixed")
+    schema = flat_schema("accepted BOOLEAN")
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.window = limit, seconds * MICROS
+
+    def start(self, cols, i):
+        return ()
+
+    def run(self, cols, lo, hi, state, out):
+        taken = deque(state)
+        for i in range(lo, hi):
+            now = int(cols["now_us"][i])
+            while taken and taken[0] <= now - self.window:
+                taken.popleft()
+            ok = bool(cols["fixed"][i]) or len(taken) < self.limit
+            if ok:
+                taken.append(now)
+            out["accepted"][i] = ok
+        return tuple(taken)
+
+
 # Answers in a row after which a timeout of up to 84 s has shrunk to the shortest one, and the time looked back for them.
 SETTLED, SETTLED_SECONDS = 64, 4 * 3600
 
@@ -265,6 +313,31 @@ def rate_limit(requests: DataFrame, key: str = "ip", limit: int = MAX_REQUESTS,
     return quiet.unionByName(folded.filter("NOT _calm").select(*kept, *verdict))
 
 
+def late_rows(requests: DataFrame, key: str, us: str, batch: str) -> DataFrame:
+    """Adds ``late``: an earlier batch brought a newer request of the same client."""
+    newest = requests.groupBy(F.col(key).alias("_key"), F.col(batch).alias("_batch")).agg(F.max(us).alias("_us"))
+    before = F.max("_us").over(W.partitionBy("_key").orderBy("_batch").rowsBetween(W.unboundedPreceding, -1))
+    seen = newest.select("_key", "_batch", before.alias("_newest"))
+    return (requests.join(seen, F.col(key).eqNullSafe(F.col("_key")) & (F.col(batch) == F.col("_batch")))
+            .withColumn("late", F.coalesce(F.col(us) < F.col("_newest"), F.lit(False))).drop("_key", "_batch", "_newest"))
+
+
+def decide_late(late: DataFrame, taken: DataFrame, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS,
+                partitions: int | None = None) -> DataFrame:
+    """``late(ip, now_us, tie)`` with ``accepted``: fewer than the limit were accepted in the window before it.
+
+    ``taken(ip, now_us)`` were accepted before and stay so. Only those within a window before a late request are looked at.
+    """
+    window = seconds * MICROS
+    cell = lambda t: F.floor(t / F.lit(window)).cast("bigint")
+    near = late.select("ip", F.explode(F.array(cell(F.col("now_us")), cell(F.col("now_us")) - 1)).alias("_cell")).distinct()
+    fixed = taken.select("ip", "now_us", cell(F.col("now_us")).alias("_cell")).join(near, ["ip", "_cell"], "left_semi").drop("_cell")
+    open_rows = late.withColumn("fixed", F.lit(False)).withColumn("_after", F.lit(1))
+    both = open_rows.unionByName(fixed.withColumn("fixed", F.lit(True)).withColumn("_after", F.lit(0)), allowMissingColumns=True)
+    done = fold_sorted(both, ["ip"], ["now_us", "_after", "tie"], LateFold(limit, seconds), partitions)
+    return done.filter("NOT fixed").drop("fixed", "_after")
+
+
 def admission_input(requests: DataFrame, admins=()) -> DataFrame:
     """The columns admission reads, added to ``requests(ip, ts, tie, full_path [, command])``."""
     if "command" not in requests.columns:

@@ -988,6 +988,30 @@ def _(spark, sf):
     return done.select(F.col("tie").alias("id"), "ip", "decision", "threats")
 
 
+@query("late_requests", sql(f"""
+SELECT ip, id, accepted FROM run WHERE late""", f"""
+arrivals AS (SELECT id, ip, epoch_us(timestamp) AS us, (id * 7919 % 100003) // 2000 AS batch FROM requests),
+newest AS (SELECT ip, batch, max(max(us)) OVER (PARTITION BY ip ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+           FROM arrivals GROUP BY ip, batch),
+lseq AS (SELECT a.id, a.ip, a.us, coalesce(a.us < n.seen, false) AS late,
+                row_number() OVER (PARTITION BY a.ip ORDER BY a.us, coalesce(a.us < n.seen, false), a.id) AS rn
+         FROM arrivals a JOIN newest n ON n.ip = a.ip AND n.batch = a.batch),
+run AS (
+  SELECT ip, id, rn, late, true AS accepted, [us] AS win FROM lseq WHERE rn = 1
+  UNION ALL
+  SELECT ip, id, rn, late, NOT late OR len(kept) < 3, CASE WHEN NOT late OR len(kept) < 3 THEN list_append(kept, us) ELSE kept END
+  FROM (SELECT s.ip, s.id, s.rn, s.us, s.late, list_filter(r.win, lambda x: x > s.us - {_HALF_DAY * 1_000_000}) AS kept
+        FROM run r JOIN lseq s ON s.ip = r.ip AND s.rn = r.rn + 1))""", recursive=True))
+def _(spark, sf):
+    """Requests arrive in another order than they were made; the late ones are decided beside those already accepted."""
+    batch = F.floor((F.col("event_id") * 7919 % 100003) / 2000)
+    log = b.table(spark, sf, "events").select(F.col("event_id").alias("tie"), b.server_ip(F.col("user_id")).alias("ip"),
+                                              tm.epoch_micros(F.col("ts")).alias("now_us"), batch.alias("batch"))
+    told = state.late_rows(log, "ip", "now_us", "batch")
+    done = state.decide_late(told.filter("late"), told.filter("NOT late"), limit=3, seconds=_HALF_DAY)
+    return done.select("ip", F.col("tie").alias("id"), "accepted")
+
+
 # ---- back-off ---------------------------------------------------------------------------------
 
 _PROBES = """

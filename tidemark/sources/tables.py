@@ -31,6 +31,7 @@ TABLES: dict[str, tuple[T.StructType, str | None, tuple[str, ...]]] = {
     "server_names": (schemas.SERVER_NAMES, None, ("ip", "port")),
     "server_cooldowns": (schemas.COOLDOWNS, None, ("ip", "port")),
     "request_log": (schemas.REQUEST_LOG, "log_date", ()),
+    "request_verdicts": (schemas.REQUEST_VERDICTS, "log_date", ()),
     "blocked_ips": (schemas.BLOCKED_IPS, None, ("ip",)),
 }
 _MARKER, _FLOOR = "_READY", "_FLOOR"

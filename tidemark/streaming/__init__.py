@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def enable_state_store(spark: SparkSession) -> None:
-    """Stateful processors need the RocksDB state store."""
+    """Stateful processors need the RocksDB state store. State that expires would keep an empty batch running after every other;
+    expired state isn't returned either way, and goes with the next batch that has rows."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
