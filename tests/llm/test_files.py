@@ -210,3 +210,60 @@ def test_tree_matching_is_best_in_order():
     assert he.Matcher().score(a, b) == 6  # root, div, p, ul, li, p
     slots = {n.label for n in he.Matcher().align(b, a)}
     assert "h2" not in slots
+
+
+def test_deep_pages_and_their_wrapper(spark):
+    from tidemark.llm import html_extract as he
+
+    pages = ["<html><body><div>menu of the site</div>" + "<div>" * 10_000 + f"<p>Own text of page {k}.</p>" + "<i>x</i>" * (k % 3) for k in range(6)]
+    assert all(t.startswith(f"Own text of page {k}.") for k, t in enumerate(he.extract(pages)))
+    df = spark.createDataFrame([(k, f"https://deep.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text[:19] for r in he.main_text(df).collect()} == {k: f"Own text of page {k}."[:19] for k in range(6)}
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<div class="layout has-sidebar"><article><p>Body.</p></article><div class="sidebar">side</div></div>', "Body."),
+    ('<div class="content no-sidebar"><p>Body.</p></div>', "Body."),
+    ('<article><p class="market-share">Shares rose.</p><section id="related-work"><p>Others did.</p></section><p class="legal">Law.</p>'
+     '<div class="ad">Buy</div><div class="related-posts">More</div></article>', "Shares rose. Others did. Law."),
+    ('<main><p>Body.</p><article class="comment"><p>I disagree</p></article></main>', "Body."),
+    ('<div class="widget-page"><main><p>Body.</p></main></div><div id="comments"><article><p>First!</p></article></div>', "Body."),
+    ('<div class="promo"><p>Buy</p></div><div><p>Body.</p></div>', "Body."),
+])
+def test_names_switch_off_no_article(page, text):
+    from tidemark.llm import html_extract as he
+
+    assert he.extract([f"<html><body>{page}</body></html>"]) == [text]
+
+
+def warc_of(kind, content_type, block, **headers):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "Content-Type": content_type, "Content-Length": len(block), **headers}
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_kinds(spark, tmp_path):
+    from tidemark.llm import warc
+
+    warc.register(spark)
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;a=b\r\nhello\r\n6\r\n world\r\n0\r\n\r\n"
+    sha = hashlib.sha1(b"hello world").digest()
+    data = [
+        warc_of("resource", "text/plain", b"first\r\n\r\nsecond", **{"WARC-Payload-Digest": "sha1:" + base64.b32encode(hashlib.sha1(b"first\r\n\r\nsecond").digest()).decode()}),
+        warc_of("warcinfo", "application/warc-fields", b"software: x\r\nformat: y\r\n"),
+        warc_of("metadata", "application/warc-fields", b""),
+        warc_of("response", "application/http; msgtype=response", chunked, **{"WARC-Payload-Digest": "sha1:" + sha.hex()}),
+        warc_of("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nContent-Length: abc\r\n\r\n", **{"WARC-Payload-Digest": "sha256:00ff"}),
+        warc_of("conversion", "text/plain", b"bad", **{"WARC-Payload-Digest": "sha1:" + base64.b32encode(sha).decode()}),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(d) for d in data))
+    read = spark.read.format("warc").option("digests", "flag").schema(
+        "record_type string, payload binary, payload_bytes bigint, payload_digest string, digest_ok boolean")
+    for name in ("a.warc", "b.warc.gz"):
+        got = {r.record_type: (bytes(r.payload), r.payload_bytes, r.digest_ok) for r in read.load(str(tmp_path / name)).collect()}
+        assert got == {"resource": (b"first\r\n\r\nsecond", 15, True), "warcinfo": (b"software: x\r\nformat: y\r\n", 24, None), "metadata": (b"", 0, None),
+                       "response": (b"hello world", 11, True), "request": (b"", 0, None), "conversion": (b"bad", 3, False)}
+    assert {r.payload_digest for r in read.load(str(tmp_path / "a.warc")).filter("record_type = 'response'").collect()} == {base64.b32encode(sha).decode()}
+    with pytest.raises(Exception, match="digest"):
+        spark.read.format("warc").load(str(tmp_path / "a.warc")).collect()
+    assert warc.dechunked(b"zz\r\nno") == b"zz\r\nno" and warc.sha1_of("sha1:not base32") == ("sha1:not base32", False)

@@ -19,8 +19,10 @@ are percent-encoded; repeated rows become repeated records; no rows give archive
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -174,8 +176,46 @@ def _headers(text: bytes) -> dict[str, str]:
     return out
 
 
-def records(file, compressed: bool, wanted, with_payload: bool) -> Iterator[dict]:
-    """Rows of one archive. ``wanted(row)`` sees the header columns before a payload is inflated."""
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def sha1_of(text: str | None) -> tuple[str | None, bool]:
+    """A digest as it is shown, and whether it is one to compare: SHA-1, in base32 or hexadecimal, becomes bare base32."""
+    kind, colon, value = (text or "").partition(":")
+    value = value if colon else kind
+    if colon and kind.lower() not in ("sha1", "sha-1"):
+        return text, False
+    with contextlib.suppress(ValueError):
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper()) if len(value) == 32 else b""
+        if len(raw) == 20:
+            return base64.b32encode(raw).decode(), True
+    return text, False
+
+
+def dechunked(body: bytes) -> bytes:
+    """The payload of a chunked body; a body that isn't well-formed is returned as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return body
+        out.append(body[end + 2:end + 2 + n])
+        at = end + 4 + n
+
+
+def records(file, compressed: bool, wanted, with_payload: bool, strict: bool = True) -> Iterator[dict]:
+    """Rows of one archive. ``wanted(row)`` sees the header columns before a payload is inflated.
+
+    Only records of ``application/http`` are taken apart into headers and payload; of others the whole block is the payload. A payload that
+    doesn't have its digest is an error, or, if not ``strict``, a row whose ``digest_ok`` is false; it is null where no digest is understood.
+    """
     blocks, pos = _Blocks(file), 0
     while pos < blocks.size:
         item = (_Member if compressed else _Plain)(blocks, pos)
@@ -191,21 +231,23 @@ def records(file, compressed: bool, wanted, with_payload: bool) -> Iterator[dict
         row = {c: head.get(h) for c, h in HEADER_OF.items()}
         for c in ("record_id", "refers_to"):
             row[c] = row[c].strip("<>") if row[c] else row[c]
-        if row["payload_digest"]:
-            row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+        row["payload_digest"], known = sha1_of(row["payload_digest"])
         if wanted(row):
             block_at = cut + 4
             body = item.upto(None if with_payload else min(block_at + length, n))[block_at:block_at + length]
-            http_end = body.find(b"\r\n\r\n")
-            http = _headers(body[:http_end]) if http_end >= 0 else {}
-            row["payload_bytes"] = int(http["content-length"]) if "content-length" in http else None
-            row["headers"] = list(head.items())
+            http, payload = {}, body
+            if head.get("content-type", "").lower().startswith("application/http") and (http_end := body.find(b"\r\n\r\n")) >= 0:
+                http, payload = _headers(body[:http_end]), body[http_end + 4:]
+            row["payload_bytes"], row["headers"] = _number(http.get("content-length")), list(head.items())
             if with_payload:
-                payload = body[http_end + 4:] if http_end >= 0 else body
+                plain = dechunked(payload) if http.get("transfer-encoding", "").lower() == "chunked" else payload
                 if row["record_type"] != "revisit":
-                    row["payload_bytes"] = len(payload)
-                    if row["payload_digest"] and digest(payload) != row["payload_digest"]:
-                        raise ValueError(f"payload of {row['record_id']} doesn't have its digest")
+                    row["payload_bytes"] = len(plain)
+                    if known:
+                        row["digest_ok"] = row["payload_digest"] in (digest(plain), digest(payload))
+                        if not row["digest_ok"] and strict:
+                            raise ValueError(f"payload of {row['record_id']} doesn't have its digest")
+                payload = plain
                 row["payload"] = payload
             yield row
         pos = item.end()
@@ -248,6 +290,7 @@ class Archives(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options):
+        self.strict = options.get("digests", "fail") != "flag"
         self.names = [f.name for f in schema.fields]
         self.arrow = to_arrow_schema(schema)
         self.uri, self.limit, self.pushed = options["path"], int(options.get("partition_bytes", 64 << 20)), []
@@ -286,7 +329,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with files.open_input_file(path) as f:
-                for row in records(f, path.endswith(".gz"), lambda r: _passes(r, self.pushed), "payload" in self.names):
+                for row in records(f, path.endswith(".gz"), lambda r: _passes(r, self.pushed), "payload" in self.names, self.strict):
                     rows.append({c: row.get(c) for c in self.names})
                     size += 200 + len(row.get("payload") or b"")
                     if size > 4 << 20:
