@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import operator
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +15,6 @@ from tidemark.functions.identity import app_id
 _HOST_PORT = re.compile(r"\s*(?P<host>[^:\s](?:[^:]*[^:\s])?)\s*:\s*\+?(?P<port>\d+)\s*")
 
 
-def where_all(df: DataFrame, *predicates: Column | None) -> DataFrame:
-    """Rows that meet all predicates that are given."""
-    active = [p for p in predicates if p is not None]
-    return df.filter(reduce(operator.and_, active)) if active else df
-
-
 def parse_server_filter(value: str | None) -> tuple[str, int] | None:
     """``ip:port``; anything else, such as ``ALL``, means no filter."""
     found = _HOST_PORT.fullmatch(value) if isinstance(value, str) else None

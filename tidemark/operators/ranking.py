@@ -71,5 +71,24 @@ def latest(df: DataFrame, ts: str, tie: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
-def ordered(df: DataFrame, *cols: str) -> DataFrame:
-    return df.orderBy(*cols)
+def seek_page(totals: DataFrame, value: str, key: str, page_no: int, limit: int, prefix: int = 6) -> DataFrame:
+    """Page ``page_no`` of rows by ``value`` descending, then ``key``, without sorting the pages before it.
+
+    A histogram of the values tells which of them the page holds, and one of the key's first characters, for those values
+    only, where in a long tie it lies. At most ``limit`` stretches of either kind touch a page, so both go to all tasks. Only the rows of
+    those stretches are sorted, each on its own.
+    """
+    first, last = (page_no - 1) * limit, page_no * limit
+
+    def touching(counts: DataFrame, order: W, names: Sequence[str], base: Column) -> DataFrame:
+        before = base + F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("_before", before)
+        return placed.filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).select(*names, "_before")
+
+    values = touching(totals.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), W.orderBy(F.col(value).desc()), [value], F.lit(0))
+    head = F.substring(key, 1, prefix)
+    near = totals.join(F.broadcast(values), value).groupBy(value, head.alias("_head"), "_before").agg(F.count(F.lit(1)).alias("_n"))
+    stretches = touching(near, W.partitionBy(value).orderBy("_head"), [value, "_head"], F.col("_before"))
+    rows = totals.withColumn("_head", head).join(F.broadcast(stretches), [value, "_head"])
+    place = F.col("_before") + F.row_number().over(W.partitionBy(value, "_head").orderBy(key))
+    return rows.withColumn("_place", place).filter((F.col("_place") > first) & (F.col("_place") <= last)).select(*totals.columns)

@@ -17,8 +17,7 @@ from tidemark.sources.tables import Store
 
 def _page(day: DataFrame, params: StatsParams) -> DataFrame:
     """The clients of a page, at most 100, with their requests of the day."""
-    return F.broadcast(rk.page(rq.requests_per_ip(day), [F.col("total_requests").desc(), F.col("ip").asc()],
-                               params.page, params.limit))
+    return F.broadcast(rk.seek_page(rq.requests_per_ip(day), "total_requests", "ip", params.page, params.limit))
 
 
 def request_page(log: DataFrame, blocked: DataFrame, params: StatsParams) -> DataFrame:

@@ -739,7 +739,7 @@ def _(spark, sf):
     return jn.ip_country(_addresses(spark, sf).select("event_id", "ip"), b.country_ranges(spark, sf))
 
 
-def _listing(spark, sf) -> DataFrame:
+def _listing(spark, sf, *also: str) -> DataFrame:
     """One landed list per customer: the own server, one with a bad port, and the terminator."""
     c = b.table(spark, sf, "customer")
     key = F.col("c_custkey")
@@ -748,7 +748,7 @@ def _listing(spark, sf) -> DataFrame:
     own = F.concat(b.server_ip(key), F.lit(":"), b.server_port(key).cast("string"))
     doc = F.struct(F.struct(F.array(
         entry(own), entry(F.concat(b.server_ip(key), F.lit(":x1"))), entry(F.lit("0.0.0.0:0"))).alias("servers")).alias("response"))
-    return c.select(F.col("c_mktsegment").alias("region"), F.to_json(doc).alias("json"))
+    return c.select(F.col("c_mktsegment").alias("region"), F.to_json(doc).alias("json"), *also)
 
 
 def _entries(spark, sf) -> DataFrame:
@@ -767,6 +767,16 @@ def _(spark, sf):
     return rd.flatten_servers(_entries(spark, sf))
 
 
+@query("server_list_rejects", """
+SELECT c_mktsegment AS region, '{"response":{"server' || c_custkey AS raw FROM customer WHERE c_custkey % 7 = 0""")
+def _(spark, sf):
+    """Every seventh list was cut off when it landed."""
+    cut = F.col("c_custkey") % 7 == 0
+    whole = _listing(spark, sf, "c_custkey")
+    docs = whole.select("region", F.when(cut, F.concat(F.substring("json", 1, 20), F.col("c_custkey").cast("string"))).otherwise(F.col("json")).alias("json"))
+    return rd.parse_server_lists(docs)[1]
+
+
 @query("server_list_union", sql("SELECT DISTINCT ip, port FROM listed UNION SELECT ip, port FROM server_names", _LISTED))
 def _(spark, sf):
     return st.union_distinct(rd.flatten_servers(_entries(spark, sf)).select("ip", "port"),
@@ -859,6 +869,13 @@ _PAGE = """
 page AS (SELECT ip, count(*) AS total_requests FROM today GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 10)"""
 
 
+@query("request_late_page", sql("""
+SELECT ip, count(*) AS total_requests FROM requests GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7 OFFSET 77"""))
+def _(spark, sf):
+    """The twelfth page of clients of the whole log, found without sorting the eleven before it."""
+    return rk.seek_page(rq.requests_per_ip(b.requests(spark, sf)), "total_requests", "ip", 12, 7)
+
+
 @query("request_page", sql("""
 SELECT p.ip, p.total_requests, r.recent, coalesce(t.threat_count, 0) AS threat_count,
        coalesce(t.threat_types, '') AS threat_types, p.ip IN (SELECT ip FROM blocked) AS is_blocked

@@ -38,6 +38,8 @@ LEGACY_SNAPSHOTS = flat_schema("snapshot_id STRING, timestamp TIMESTAMP_NTZ")
 REQUEST_LOG = flat_schema(
     "id BIGINT, timestamp TIMESTAMP_NTZ, ip STRING, endpoint STRING, full_path STRING, log_date DATE")
 REQUEST_VERDICTS = flat_schema("id BIGINT, ip STRING, now_us BIGINT, accepted BOOLEAN, log_date DATE")
+REJECTED_PROBES = flat_schema("raw STRING")
+CYCLE_METRICS = flat_schema("cycle BIGINT, listed BIGINT, filtered BIGINT, added BIGINT, skipped BIGINT, answered BIGINT, parsed BIGINT, written BIGINT, rejected BIGINT")
 BLOCKED_IPS = flat_schema("ip STRING, reason STRING, blocked_at TIMESTAMP_NTZ, auto_blocked BOOLEAN")
 
 SERVER_LIST = T.StructType().add("response", T.StructType().add("servers", T.ArrayType(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import text as tx
@@ -34,6 +35,41 @@ def read_server_list(spark: SparkSession, path: str, game: str = "tf") -> DataFr
     return flatten_servers(server_entries(docs), game)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _with_raw(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def parse_server_lists(docs: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) of server lists held as text. A rejected list keeps its columns, with its whole text as ``raw``."""
+    parsed = docs.withColumn("_doc", F.from_json(json, _with_raw(schemas.SERVER_LIST), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col(f"_doc.{CORRUPT}").isNotNull() | F.col("_doc").isNull()
+    kept = [c for c in docs.columns if c != json]
+    good = parsed.filter(~bad).select(*kept, F.col("_doc.response").alias("response"))
+    return server_entries(good), parsed.filter(bad).select(*kept, F.col(json).alias("raw"))
+
+
+def read_server_lists(spark: SparkSession, path: str, game: str = "tf") -> tuple[DataFrame, DataFrame]:
+    """(servers, rejects(file, raw)) of landed lists; a document that is cut off or isn't JSON is a reject, whole."""
+    docs = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    entries, rejects = parse_server_lists(docs, "value")
+    return flatten_servers(entries.drop("file"), game), rejects.select("file", "raw")
+
+
+def read_sample_lines(spark: SparkSession, path: str, header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(raw sample rows, rejects(file, raw)) of legacy sample files; a line with surplus fields is a reject, as it stands."""
+    names = schemas.RAW_SAMPLE.fieldNames()
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).filter("trim(value) <> ''")
+    if header:
+        lines = lines.filter(~F.lower("value").startswith(f"{names[0]},"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _with_raw(schemas.RAW_SAMPLE))
+    rows = lines.withColumn("_row", F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    surplus = F.col(f"_row.{CORRUPT}").isNotNull() & (F.size(F.split("value", ",")) > len(names))
+    return rows.filter(~surplus).select(*[f"_row.{n}" for n in names]), rows.filter(surplus).select("file", F.col("value").alias("raw"))
+
+
 def union_regions(*dfs: DataFrame) -> DataFrame:
     """Endpoints of all regions, each once. One read over all regions needs no union."""
     out = dfs[0].select("ip", "port")

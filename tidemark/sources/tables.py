@@ -32,6 +32,8 @@ TABLES: dict[str, tuple[T.StructType, str | None, tuple[str, ...]]] = {
     "server_cooldowns": (schemas.COOLDOWNS, None, ("ip", "port")),
     "request_log": (schemas.REQUEST_LOG, "log_date", ()),
     "request_verdicts": (schemas.REQUEST_VERDICTS, "log_date", ()),
+    "rejected_probes": (schemas.REJECTED_PROBES, None, ()),
+    "cycle_metrics": (schemas.CYCLE_METRICS, None, ("cycle",)),
     "blocked_ips": (schemas.BLOCKED_IPS, None, ("ip",)),
 }
 _MARKER, _FLOOR = "_READY", "_FLOOR"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
@@ -16,11 +17,15 @@ from tidemark.operators import filters as fl
 from tidemark.operators import joins as jn
 from tidemark.operators import state
 from tidemark.plans import ingest
+from tidemark.sources.readers import CORRUPT
 from tidemark.sources.tables import Store
 
 
 def read_probe_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    return (spark.readStream.schema(schemas.PROBE).option("maxFilesPerTrigger", max_files).json(path))
+    """Landed probe results; a line that isn't JSON is a row with nothing but its text in ``_corrupt_record``."""
+    schema = T.StructType([*schemas.PROBE.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
+            .option("maxFilesPerTrigger", max_files).json(path))
 
 
 def stamp(batch: DataFrame, ts: Column | None = None) -> DataFrame:
@@ -34,7 +39,8 @@ class Cycle:
     folders, so running it again after a failure gives the same tables.
 
     ``first_batch`` shifts batch ids when a query starts over with an empty stream checkpoint:
-    pass the number of batches already stored. Old log rows go every ``expire_every`` batches. ``one_time`` gives all rows of a batch its newest time.
+    pass the number of batches already stored. Lines that can't be read go to ``rejected_probes``, and the cycle's counts
+    to ``cycle_metrics``; ``added`` are servers that were asked without being in ``listing(ip, port)``, if that is given. Old log rows go every ``expire_every`` batches. ``one_time`` gives all rows of a batch its newest time.
     """
 
     store: Store
@@ -45,18 +51,27 @@ class Cycle:
     one_time: bool = False
     expire_every: int = 12
     log_days: int = 30
+    listing: DataFrame | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         at = F.lit(batch.agg(F.max("snapshot_ts")).first()[0]).cast("timestamp_ntz") if self.one_time else None
         batch = stamp(batch, at).persist()
+        n = self.first_batch + batch_id
         try:
-            self._store(batch, self.first_batch + batch_id)
+            if CORRUPT in batch.columns:
+                self.store.append(batch.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw")), "rejected_probes", n)
+                whole = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+            else:
+                whole = batch
+            self._store(whole, n, batch)
         finally:
             batch.unpersist()
 
-    def _store(self, batch: DataFrame, n: int) -> None:
+    def _store(self, batch: DataFrame, n: int, landed: DataFrame) -> None:
+        if batch.isEmpty():
+            return
         probes = batch.filter(is_valid_public_ip(F.col("ip")))
         ingest.record_snapshots(self.store, batch.select(
             tm.snapshot_id(F.col("snapshot_ts")).alias("guid"), F.col("snapshot_ts").alias("timestamp")), n)
@@ -67,10 +82,20 @@ class Cycle:
             known)).persist()
         try:
             rows = fl.sample_rows(steps.filter(F.col("probed") & F.col("ok")))
-            ingest.write_samples(self.store, rows, n, self.ranges)
+            counts = ingest.write_samples(self.store, rows, n, self.ranges)
             newest = batch.agg(F.max("snapshot_ts")).first()[0]
             ingest.save_names(self.store, rows, n, tm.ntz(newest))
-            self.store.append(state.cooldown_state(steps), "server_cooldowns", n)
+            seen = Observation("cycle")
+            watched = steps.observe(seen, F.count_if(~F.col("probed")).alias("skipped"),
+                                    F.count_if(F.col("probed") & F.col("ok")).alias("answered"))
+            self.store.append(state.cooldown_state(watched), "server_cooldowns", n)
+            rejected = F.col(CORRUPT).isNotNull() if CORRUPT in landed.columns else F.lit(False)
+            listed = landed.agg(F.count_if(~rejected).alias("listed"), F.count_if(rejected).alias("rejected"),
+                                F.count_if(~rejected & ~is_valid_public_ip(F.col("ip"))).alias("filtered")).first()
+            asked = probes.select("ip", "port").distinct()
+            added = None if self.listing is None else asked.join(self.listing.select("ip", "port"), ["ip", "port"], "left_anti").count()
+            self._report({**listed.asDict(), **seen.get, "added": added, "cycle": n,
+                          "parsed": counts["parsed_rows"], "written": counts["written_rows"]}, n)
         finally:
             steps.unpersist()
         if self.compact_every and (n + 1) % self.compact_every == 0:
@@ -80,6 +105,10 @@ class Cycle:
         if self.publish_path:
             ingest.publish_default(self.store, self.publish_path)
 
+    def _report(self, counts: dict, n: int) -> None:
+        names = schemas.CYCLE_METRICS.fieldNames()
+        self.store.append(self.store.spark.createDataFrame([tuple(counts[c] for c in names)], schemas.CYCLE_METRICS), "cycle_metrics", n)
+
 
 def run_cycle(stream: DataFrame, cycle: Cycle, checkpoint: str, available_now: bool = False,
               every: str = "300 seconds") -> StreamingQuery:
