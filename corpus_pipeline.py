@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Pa
 next one's docs. All but the last return the columns of documents, and at most change the text.
 
 Nulls and odd rows: a document without text passes every stage that judges texts; rows without id are kept by the near-duplicate stage;
-repeated rows are copies, of which that stage keeps one, as it does of rows that repeat an id; no rows give no rows.
+repeated rows are copies, of which that stage keeps one; different texts that share an id are documents of their own; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Copies are one document; different texts of one id
+    stay if their groups have no smaller id."""
     kept = minhash_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL") \
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.min("tag").alias("_tag"))
+        .select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     named = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag0"))
     found = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_tag0") == F.col("_tag")))
     return found.dropDuplicates(["doc_id", "_tag0"]).select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
