@@ -31,10 +31,11 @@ from tidemark.params import ChartParams, StatsParams
 from tidemark.plans import bindings as b
 from tidemark.plans import discovery, ingest, metadata, profile
 from tidemark.plans.chart import Chart
-from tidemark.plans.requests import page_endpoints, request_page
+from tidemark.plans.requests import BlockList, page_endpoints, request_page
 from tidemark.session import apply_semantics, ensure_checkpoint_dir
 from tidemark.sources import readers as rd
 from tidemark.sources.tables import Store, insert_ignored, upserted
+from tidemark.streaming import cycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -562,6 +563,41 @@ def _(spark, sf):
     return store.read("server_names").select("ip", "port", "name")
 
 
+@query("rollup_backfill", sql("SELECT * FROM rollup_2h"))
+def _(spark, sf):
+    """Facts and snapshots are stored without a rollup, which is then made from them."""
+    store, snaps = _store(spark), b.snaps(spark, sf)
+    store.append(snaps, "snaps", 0)
+    dated = b.facts(spark, sf).join(snaps.select(F.col("id").alias("snapshot_id"), "timestamp"), "snapshot_id")
+    store.append(dated.withColumn("bucket_date", tm.time_bucket(tm.BUCKET, F.col("timestamp")).cast("date")), "facts", 0)
+    ingest.backfill_rollup(store)
+    return store.read("rollup_2h").drop("bucket_date")
+
+
+@query("rollup_batches", sql("SELECT * FROM rollup_2h"))
+def _(spark, sf):
+    """The sink of the streaming rollup, given three batches whose rows come from any time; the second one is sent twice."""
+    store, s = _store(spark), b.samples(spark, sf)
+    write = cycle.rollup_into(store)
+    for n, part in enumerate((2, 0, 1)):
+        for _ in range(2 if n == 1 else 1):
+            write(s.filter(F.pmod(F.hash("id"), F.lit(3)) == part), n)
+    return store.read("rollup_2h").groupBy("bucket", "server_id", "map_id").agg(F.sum("players").alias("players"))
+
+
+@query("block_list", sql("""
+SELECT ip, auto_blocked FROM (SELECT ip, true AS auto_blocked FROM (
+  SELECT ip, row_number() OVER (PARTITION BY ip ORDER BY timestamp, id) AS rn FROM classified WHERE threat_type IS NOT NULL)
+WHERE rn = 3 AND ip NOT IN ('10.0.0.5', '10.0.0.7', '10.0.0.9') UNION ALL SELECT '10.0.0.7', false)"""))
+def _(spark, sf):
+    """A manual block, clients with three threats, and one that is unblocked again; an admin is never blocked."""
+    blocks = BlockList(_store(spark), admins=["10.0.0.5"])
+    blocks.block(["10.0.0.5", "10.0.0.7", " "])
+    blocks.add_auto_blocks(b.requests(spark, sf))
+    blocks.unblock(["10.0.0.9", "10.9.9.9"])
+    return blocks.blocked().select("ip", "auto_blocked")
+
+
 @query("store_insert_ignore", sql("SELECT guid, timestamp FROM snaps"))
 def _(spark, sf):
     """Snapshots of the first half are stored; then all are sent, twice."""
