@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import nan_to_zero, round_even
-from tidemark.functions.time import iso_label
+from tidemark.functions.time import BUCKET_SECONDS, iso_label
 from tidemark.operators import aggregates as ag
 from tidemark.operators import joins as jn
 from tidemark.operators import ranking as rk
@@ -185,6 +185,46 @@ def write_chart_json(chart: Chart, path: str) -> None:
     chart_sections(chart).write.mode("overwrite").partitionBy("section").text(path)
 
 
+#: Buckets of two hours in a piece of a series: a week.
+PIECE = 84
+
+
+def document_rows(chart: Chart, piece: int = PIECE) -> DataFrame:
+    """The chart document in pieces: (section, id, label, kind, part, buckets, data), at most ``piece`` points in a row.
+
+    A series is cut on a grid of its own, so a piece holds the same buckets in every chart that has them whole. Nothing is as long as
+    a series: neither a row, nor a group, nor what a reader holds.
+    """
+    f = chart.frames()
+
+    def pieces(df: DataFrame, section: str, key: Column, value: str) -> DataFrame:
+        part = F.floor(F.unix_seconds(F.col("bucket").cast("timestamp")) / F.lit(BUCKET_SECONDS * piece)).cast("bigint")
+        points = F.array_sort(F.collect_list(F.struct("bucket", nan_to_zero(F.col(value).cast("double")).alias("v"))))
+        cut = df.groupBy(key.alias("id"), "label", "kind", part.alias("part")).agg(points.alias("p"))
+        return cut.select(F.lit(section).alias("section"), "id", "label", "kind", "part",
+                          F.transform("p", lambda x: x["bucket"]).alias("buckets"), F.transform("p", lambda x: x["v"]).alias("data"))
+
+    totals = f["totals"].select("bucket", F.lit("total").alias("label"), F.lit("total").alias("kind"), "avg_total", "snapshots")
+    return (pieces(f["map_share"], "datasets", F.col("label"), "share")
+            .unionByName(pieces(f["server_series"], "totalPlayersServerDatasets", F.col("id"), "avg"))
+            .unionByName(pieces(totals, "dailyTotals", F.lit("total"), "avg_total"))
+            .unionByName(pieces(totals, "snapshotCounts", F.lit("total"), "snapshots")))
+
+
+def document_parts(rows: DataFrame) -> DataFrame:
+    """What there is to read of each series: (section, id, label, kind, first_part, parts, points)."""
+    return rows.groupBy("section", "id", "label", "kind").agg(
+        F.min("part").alias("first_part"), F.count(F.lit(1)).alias("parts"), F.sum(F.size("data")).alias("points"))
+
+
+def write_document(chart: Chart, path: str, piece: int = PIECE) -> None:
+    """The series in pieces under ``pieces``, by section and sorted, and the list of parts under ``parts``."""
+    rows = document_rows(chart, piece)
+    rows.repartition("section", "id").sortWithinPartitions("section", "id", "part").write.mode("overwrite").partitionBy("section").json(f"{path}/pieces")
+    spark = rows.sparkSession
+    document_parts(spark.read.schema(rows.schema).json(f"{path}/pieces")).write.mode("overwrite").json(f"{path}/parts")
+
+
 _EMPTY = {"labels": [], "datasets": [], "dailyTotals": [], "snapshotCounts": [], "ranking": [],
           "shownMapsCount": 0, "averageDailyPlayerCount": 0}
 

@@ -30,7 +30,7 @@ from tidemark.operators import windows as wn
 from tidemark.params import ChartParams, StatsParams
 from tidemark.plans import bindings as b
 from tidemark.plans import discovery, ingest, metadata, profile
-from tidemark.plans.chart import Chart
+from tidemark.plans.chart import Chart, document_rows
 from tidemark.plans.requests import BlockList, page_endpoints, request_page
 from tidemark.session import apply_semantics, ensure_checkpoint_dir
 from tidemark.sources import readers as rd
@@ -169,6 +169,17 @@ def _(spark, sf):
     return _series(chart(spark, sf).map_series())
 
 
+@query("chart_document_rows", sql("""
+SELECT label, kind, CAST(floor(epoch(bucket) / (7200 * 12)) AS BIGINT) AS part, count(*) AS points, min(bucket) AS first_bucket,
+       round_even(sum(share), 4) AS total FROM points GROUP BY ALL""", "shown AS (SELECT * FROM top_maps)," + _SERIES + ", points AS (" + _SERIES_BODY + ")"))
+def _(spark, sf):
+    """The pieces of the map series, a day each, as a reader finds them."""
+    rows = document_rows(chart(spark, sf), piece=12).filter("section = 'datasets'")
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + nm.round_even(x, 6))
+    return rows.select("label", "kind", "part", F.size("data").cast("bigint").alias("points"), F.col("buckets")[0].alias("first_bucket"),
+                       nm.round_even(total, 4).alias("total"))
+
+
 _APPENDED = """
 appended AS (SELECT map, contribution FROM contrib
              WHERE regexp_matches(map, '(?i)widget|ROD') AND map NOT IN (SELECT map FROM top_maps)),
