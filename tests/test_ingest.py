@@ -86,7 +86,21 @@ def test_compaction_keeps_content_and_the_newest_batch(spark, store):
     assert rollup_of(store) == WANT and store.read("facts").count() == 5
     store.compact_all()
     store.compact_all()
-    assert len(store._versions("facts")) == 2 and rollup_of(store) == WANT
+    assert {n for _, n in store._folders("facts")} == {0, 1} and rollup_of(store) == WANT
+
+
+def test_compaction_reads_only_parts_with_several_folders(spark, store, tmp_path):
+    rows = [(T0 + timedelta(days=d), 1, 1, 2, (T0 + timedelta(days=d)).date()) for d in (0, 1, 2)]
+    frame = lambda *days: spark.createDataFrame([rows[d] for d in days], schemas.ROLLUP)
+    for n, days in enumerate(((0, 1), (0,), (2,), (2,))):
+        store.append(frame(*days), "rollup_2h", n)
+    files = lambda day: {str(p) for p in (tmp_path / "tables").rglob("*.parquet") if str(day.date()) in str(p)}
+    alone, newest = files(T0 + timedelta(days=1)), files(T0 + timedelta(days=2))
+    store.compact("rollup_2h")
+    assert files(T0 + timedelta(days=1)) == alone and files(T0 + timedelta(days=2)) == newest
+    assert {(part[-2:], n) for part, n in store._folders("rollup_2h")} == {("01", -1), ("02", 0), ("03", 2), ("03", 3)}
+    total = store.read("rollup_2h").groupBy("bucket").agg(F.sum("players").alias("n"))
+    assert sorted(map(tuple, total.collect())) == [(rows[0][0], 4), (rows[1][0], 2), (rows[2][0], 4)]
 
 
 def test_rollup_backfill_equals_incremental(spark, store):
@@ -186,23 +200,60 @@ def test_repeated_keys_in_one_batch(spark, store):
     assert [r.reason for r in store.read("blocked_ips").collect()] == ["y"]
 
 
-def test_a_rewrite_that_another_writer_has_begun_fails(spark, store):
-    rows = spark.createDataFrame([("1.2.3.4", "x", T0, False)], schemas.BLOCKED_IPS)
-    store.upsert(rows, "blocked_ips")
-    store._reserve("blocked_ips", store._current("blocked_ips") + 1)
-    with pytest.raises(RuntimeError):
-        store.upsert(rows, "blocked_ips")
+def test_a_rewrite_touches_only_the_parts_of_its_keys(spark, store, tmp_path):
+    rows = lambda ips, why: spark.createDataFrame([(i, why, T0, False) for i in ips], schemas.BLOCKED_IPS)
+    files = lambda: {str(p) for p in (tmp_path / "tables").rglob("*.parquet")}
+    every = [f"1.2.3.{k}" for k in range(40)]
+    store.upsert(rows(every, "x"), "blocked_ips")
+    before = files()
+    store.upsert(rows(["1.2.3.4", None], "y"), "blocked_ips")
+    assert len(before & files()) >= len(before) - 2
+    assert {(r.ip, r.reason) for r in store.read("blocked_ips").collect()} == {(i, "y" if i in ("1.2.3.4", None) else "x") for i in [*every, None]}
+    before = files()
+    store.delete_keys(rows(["1.2.3.5", "9.9.9.9"], "z"), "blocked_ips")
+    assert len(before & files()) >= len(before) - 2 and store.read("blocked_ips").count() == 40
+    # The last row of a part takes its folder with it; a table may become empty and be filled again.
+    store.delete_keys(rows(every, "z"), "blocked_ips")
+    assert [r.ip for r in store.read("blocked_ips").collect()] == [None] and len(store._folders("blocked_ips")) == 1
+    store.upsert(rows([], "y"), "blocked_ips")
+    store.delete_keys(rows([], "y"), "blocked_ips")
+    assert store.read("blocked_ips").count() == 1
+    with pytest.raises(ValueError):
+        store.upsert(spark.createDataFrame([], schemas.REQUEST_LOG), "request_log")
+
+
+def test_a_batch_sent_again_with_fewer_rows_replaces_all_its_folders(spark, store):
+    day = lambda d: (T0 + timedelta(days=d), 1, 1, 2, (T0 + timedelta(days=d)).date())
+    undated = (T0, 2, 2, 2, None)
+    store.append(spark.createDataFrame([day(0), day(1), undated], schemas.ROLLUP), "rollup_2h", 3)
+    store.append(spark.createDataFrame([day(5)], schemas.ROLLUP), "rollup_2h", 2)
+    store.append(spark.createDataFrame([day(1), undated], schemas.ROLLUP), "rollup_2h", 3)
+    assert sorted((r.bucket, r.bucket_date) for r in store.read("rollup_2h").filter("bucket_date IS NOT NULL").collect()) == [
+        (day(d)[0], day(d)[4]) for d in (1, 5)]
+    assert store.read("rollup_2h").filter("bucket_date IS NULL").count() == 1
+    store.append(spark.createDataFrame([], schemas.ROLLUP), "rollup_2h", 3)
+    assert store.read("rollup_2h").count() == 1
 
 
 def test_retention_leaves_the_files_of_kept_days_alone(spark, store, tmp_path):
-    days = [datetime(2024, 1, d, 12) for d in (1, 2, 3, 4)]
-    rows = [(k, t, "1.2.3.4", "e", "/", t.date()) for k, t in enumerate(days)]
-    store.append(spark.createDataFrame(rows, schemas.REQUEST_LOG), "request_log", 0)
+    times = [datetime(2024, 1, d, h) for d in (1, 2, 3, 4) for h in (12, 20)]
+    rows = [(k, t, "1.2.3.4", "e", "/", t.date()) for k, t in enumerate(times)]
+    frame = lambda part: spark.createDataFrame(part, schemas.REQUEST_LOG)
+    store.append(frame(rows[:3]), "request_log", 0)  # of the cutoff's day only a row that goes
+    store.append(frame(rows[3:]), "request_log", 1)
     files = lambda: {str(p) for p in (tmp_path / "tables").rglob("*.parquet")}
-    before = files()
-    store.retain("request_log", "timestamp", tm.ntz(datetime(2024, 1, 2, 18)))
-    kept = {f for f in before if "2024-01-01" not in f}
-    assert files() == kept and len(kept) < len(before)
-    assert sorted(r.id for r in store.read("request_log").collect()) == [2, 3]
+    kept = {f for f in files() if "2024-01-03" in f or "2024-01-04" in f}
+    cutoff = tm.ntz(datetime(2024, 1, 2, 18))
+    store.retain("request_log", "timestamp", cutoff)
+    assert kept < files() and not any("2024-01-01" in f for f in files())
+    assert ("2024-01-02", 0) not in store._folders("request_log") and ("2024-01-02", 1) in store._folders("request_log")
+    assert sorted(r.id for r in store.read("request_log").collect()) == [3, 4, 5, 6, 7]
     store.compact("request_log")
-    assert sorted(r.id for r in store.read("request_log").collect()) == [2, 3]
+    assert sorted(r.id for r in store.read("request_log").collect()) == [3, 4, 5, 6, 7]
+    # Rows that come later are there, however old, until retention runs again.
+    store.append(frame(rows[:1]), "request_log", 2)
+    assert store.read("request_log").count() == 6
+    store.retain("request_log", "timestamp", cutoff)
+    assert store.read("request_log").count() == 5
+    store.append(frame(rows[3:]), "request_log", 1)
+    assert store.read("request_log").count() == 5
