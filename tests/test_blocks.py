@@ -89,3 +89,11 @@ def test_rows_and_marks_of_different_cuts_are_an_error(spark):
                                          bl.T.StructType([*([d.schema["k"]] if marks else d.schema.fields), bl.T.StructField("_n0", bl.T.LongType())]))
     with pytest.raises(Exception, match="different cuts"):
         bl.with_marks(cut(df, False), cut(other, True).select("_block", "_sign")).collect()
+
+
+def test_blocks_behind_another_branch_of_a_union(spark):
+    """The rows run in the union's stage, where their blocks aren't numbered from 0."""
+    df = spark.createDataFrame([("x", i, True) for i in range(50)], "k STRING, o BIGINT, f BOOLEAN")
+    more = df.withColumn("f", F.lit(0).cast("long")).repartition(3)
+    got = more.union(bl.running_counts(df, ["k"], ["o"], ["f"], 4).select("k", "o", "f")).collect()
+    assert sorted(r.f for r in got) == [0] * 50 + list(range(1, 51))

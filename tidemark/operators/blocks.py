@@ -62,8 +62,13 @@ def block_rows(placed: DataFrame, order: Sequence[str], fold: Callable[[Batches]
 
 
 def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows with the columns of their block's mark; ``marks`` has one row for each block, so it is broadcast."""
-    both = rows.join(F.broadcast(marks.withColumn("_marked", F.lit(True))), ["_block", "_sign"], "left")
+    """Rows with the columns of their block's mark; ``marks`` has one row for each block, so it is broadcast.
+
+    They meet by the block's first order values alone: where Spark runs the rows in one stage with another branch of a union, the
+    blocks' numbers don't begin with 0.
+    """
+    known = F.broadcast(marks.drop("_block").withColumn("_marked", F.lit(True)))
+    both = rows.join(known, "_sign", "left")
     same = F.when(F.col("_marked"), True).otherwise(F.raise_error(F.lit("rows and marks come from different cuts")).cast("boolean"))
     return both.filter(same).drop("_marked", "_block", "_sign")
 
