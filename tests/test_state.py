@@ -256,3 +256,33 @@ def test_backoff_of_servers_that_answer_for_hours(spark, first_ok):
     stored = probes_df(spark, rows[:200]).withColumn("timeout", F.lit(5.0)).withColumn("failures", F.lit(4)).withColumn(
         "skip_until", F.lit((T0 - datetime(1970, 1, 1)).total_seconds() + 900.0))
     assert [r.probed for r in state.cooldown_steps(stored).orderBy("tie").limit(6).collect()] == [False] * 4 + [True] * 2
+
+
+def test_limiter_and_backoff_go_through_a_cell_once(spark):
+    """A frame with two moving ends is gone through for each row: it is only used where it holds no more rows than the limit."""
+    rows = [(i, "a", T0 + timedelta(milliseconds=10 * (i // 3))) for i in range(3000)]
+    done = state.rate_limit(log_df(spark, rows), limit=5, seconds=10)
+    assert {r.tie: r.accepted for r in done.collect()} == limiter(rows, 5, 10)
+    moving = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("specifiedwindowframe(RangeFrame, -")
+    assert moving(done) <= 2  # named twice in the one place
+    probed = spark.createDataFrame([(1, "a", 1, T0, True)], "tie BIGINT, ip STRING, port INT, ts TIMESTAMP_NTZ, ok BOOLEAN")
+    assert moving(state.cooldown_steps(probed)) == 0
+    assert moving(wn.window_count(log_df(spark, rows), "ip", "ts")) == 0
+
+
+def test_rules_run_on_rows_dealt_out(spark):
+    """One large file is one task of the scan; the rules, which are most of the work, run between two exchanges."""
+    df = admission_df(spark, admission_rows(5)[:50]).drop("command").coalesce(1)
+    text = state.admit(df, spark.createDataFrame([("10.0.0.3",)], "ip STRING"), partitions=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [tie" in text.split("RLIKE")[-1] and "RepartitionByExpression [ip" in text.split("RLIKE")[0]
+
+
+def test_admission_without_commands(spark):
+    rows = [(*r[:4], None) for r in admission_rows(22)]
+    log, blocked = admission_df(spark, rows).drop("command"), spark.createDataFrame([("10.0.0.3",), ("10.0.0.3",)], "ip STRING")
+    done = state.admit(log, blocked, ["10.0.0.4"], limit=4, seconds=120, partitions=6).collect()
+    assert len(done) == len(rows)  # a client listed twice is one
+    assert {r.tie: r.decision for r in done} == admission_model(rows, 4, 120, ["10.0.0.3"], ["10.0.0.4"])
+    same = state.admit(admission_df(spark, rows), blocked, ["10.0.0.4"], limit=4, seconds=120, partitions=6).collect()
+    told = lambda found: {r.tie: (r.decision, r.threats, r.logged, r.auto_blocked, r.remaining, r.reset_s, r.retry_s) for r in found}
+    assert told(done) == told(same)

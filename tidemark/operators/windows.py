@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -58,6 +58,18 @@ def _cell(micros: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def so_far(cell: WindowSpec, upto: int, flag: Column | None = None) -> Column:
+    """Rows of the cell (with ``flag``: those where it is true) whose time is at most ``upto`` after this row's."""
+    counted = F.count(F.lit(1)) if flag is None else F.count_if(flag)
+    return counted.over(cell.rangeBetween(W.unboundedPreceding, upto))
+
+
+def between(cell: WindowSpec, lo: int, hi: int, flag: Column | None = None) -> Column:
+    """Rows of the cell from ``lo`` to ``hi`` after this row's time, as a difference of two running counts: Spark goes through the whole
+    of a frame with two moving ends for each row, but only once through the cell for a frame with one."""
+    return so_far(cell, hi, flag) - so_far(cell, lo - 1, flag)
+
+
 def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: str, out: str, blocks: int | None = None) -> DataFrame:
     """Running number of rows with ``flag``, per key in (ts, tie) order.
 
@@ -78,7 +90,6 @@ def window_count(df: DataFrame, key: str, ts: str, seconds: int = 15, out: str =
     own = _cell(F.col("_us"), span)
     spill = _cell(F.col("_us") + F.lit(seconds * 1_000_000 - 1), span)
     placed = micros.select("*", own.alias("_own"), F.explode(F.array_distinct(F.array(own, spill))).alias("_cell"))
-    w = (W.partitionBy(key, "_cell").orderBy("_us")
-         .rangeBetween(-(seconds * 1_000_000 - 1), 0))
-    return (placed.withColumn(out, F.count(F.lit(1)).over(w))
+    w = W.partitionBy(key, "_cell").orderBy("_us")
+    return (placed.withColumn(out, between(w, 1 - seconds * 1_000_000, 0))
             .filter(F.col("_cell") == F.col("_own")).drop("_us", "_own", "_cell"))
