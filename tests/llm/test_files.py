@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -200,6 +201,67 @@ def test_long_child_lists_are_matched_in_order():
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:])) and sum(table[i, j] for i, j in out) == best[-1]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_tree_matching_is_the_same_whatever_the_sizes(seed, monkeypatch):
+    """The limits that choose how lists are matched change neither scores nor pairs, ties included."""
+    from tidemark.llm import html_extract as he
+
+    rng = random.Random(seed)
+
+    def grown(depth):
+        x = he.Node("", rng.choice("ab"), False)
+        x.children = [grown(depth - 1) for _ in range(rng.randrange(4 if depth < 3 else 9))] if depth else []
+        return x
+
+    a, b = (he.Node("", "#", False) for _ in range(2))
+    for x in (a, b):
+        x.children = [grown(3) for _ in range(10)]
+        he.shaped(x)
+
+    def matched():
+        todo, n = [b], 0
+        while todo:
+            x = todo.pop()
+            x.slot, n = n, n + 1
+            todo += reversed(x.children)
+        m = he.Matcher()
+        return m.score(a, b), sorted((id(x), x.slot) for x in m.align(a, b))
+
+    want, least = matched(), he.in_order
+    assert len(want[1]) == want[0]
+    for cells, shapes, few, deep in ((0, 1 << 16, 16, 20), (0, 0, 16, 20), (0, 0, 1, 20), (0, 0, 1, 1), (30, 10, 2, 3)):
+        for name, value in (("CELLS", cells), ("SHAPES", shapes), ("FEW", few), ("DEEP", deep)):
+            monkeypatch.setattr(he.Matcher, name, value)
+        monkeypatch.setattr(he, "in_order", lambda n, m, row: least(n, m, row, 40))
+        monkeypatch.setattr(he.Group, "KEPT", 30)
+        monkeypatch.setattr(he.Group, "CHILDREN", 40)
+        monkeypatch.setattr(he._Hosts, "SCORES", 5)
+        assert matched() == want
+
+
+def test_many_different_rows_count_by_what_is_below_them():
+    """1100 rows of different shapes on either side, in the same order but for one row put in front: all below them matches."""
+    from tidemark.llm import html_extract as he
+
+    def rows(first):
+        found = []
+        for k in [*first, *range(1, 1101)]:
+            x = he.Node("", "li", False)
+            x.children = [he.Node("", t, False) for t in format(k, "b").replace("0", "i").replace("1", "b")]
+            found.append(x)
+        root = he.Node("", "ul", False)
+        root.children = found
+        he.shaped(root)
+        return root
+
+    a, b = rows([2047, 2046]), rows([])
+    b.children = [*b.children, rows([4095]).children[0]]
+    he.shaped(b)
+    assert len({c.shape for c in a.children}) * len({c.shape for c in b.children}) > 1_000_000
+    # Every row of 1 to 1100 finds itself; the last row has another as its best only if the rest gives way.
+    assert he.Matcher().score(a, b) == he.size(b, {}) - he.size(b.children[-1], {})
+
+
 def test_tree_matching_is_best_in_order():
     from tidemark.llm import html_extract as he
 

@@ -235,45 +235,81 @@ def size(node: Node, memo: dict[int, int]) -> int:
     return memo[node.shape]
 
 
-def in_order(n: int, m: int, row) -> list[tuple[int, int]]:
-    """Pairs (i, j), both growing, with the largest sum of row(i)[j]; halved until a table of a part is small."""
-    out, todo = [], [(0, n, 0, m)]
-
-    def sums(rows, lo: int, hi: int, back: bool) -> np.ndarray:
-        best = np.zeros(hi - lo + 1, np.int64)
-        for i in rows:
-            got = row(i)[lo:hi][::-1 if back else 1]
-            best[1:] = np.maximum(best[1:], best[:-1] + got)
-            np.maximum.accumulate(best, out=best)
-        return best[::-1] if back else best
+def in_order(n: int, m: int, row, cells: int = 1 << 22) -> list[tuple[int, int]]:
+    """Pairs (i, j), both growing, with the largest sum of row(i)[j]; of several such sets the one that pairs, else leaves out an i,
+    from the front. Rows are halved, which keeps one row of sums each time, until a table of a part is small."""
+    out, j = [], 0
 
+    def above(below: np.ndarray, got: np.ndarray) -> np.ndarray:
+        best = below.copy()
+        best[:-1] = np.maximum(best[:-1], below[1:] + got)
+        return np.maximum.accumulate(best[::-1])[::-1]
+
+    todo = [(0, n, np.zeros(m + 1, np.int64))]
     while todo:
-        a, b, lo, hi = todo.pop()
-        if a == b or lo == hi:
-            continue
-        if b - a > 1 and (b - a) * (hi - lo) > 1 << 22:
-            mid = (a + b) // 2
-            cut = lo + int(np.argmax(sums(range(a, mid), lo, hi, False) + sums(range(b - 1, mid - 1, -1), lo, hi, True)))
-            todo += [(mid, b, cut, hi), (a, mid, lo, cut)]
+        a, b, below = todo.pop()
+        if j == m:
+            break
+        split = b - a > 1 and (b - a) * (m + 1 - j) > cells
+        stop, start, sums = (a + b) // 2 if split else a, j, [below[j:]]
+        for i in range(b - 1, stop - 1, -1):
+            best = above(sums[-1], row(i)[start:])
+            if split:
+                sums[-1] = best
+            else:
+                sums.append(best)
+        if split:
+            whole = np.zeros(m + 1, np.int64)
+            whole[start:] = sums[-1]
+            todo += [(stop, b, below), (a, stop, whole)]
             continue
-        best = np.zeros((b - a + 1, hi - lo + 1), np.int64)
+        sums.reverse()
         for i in range(a, b):
-            k = i - a
-            best[k + 1, 1:] = np.maximum(best[k, 1:], best[k, :-1] + row(i)[lo:hi])
-            np.maximum.accumulate(best[k + 1], out=best[k + 1])
-        i, j, part = b - a, hi - lo, []
-        while i and j:
-            if best[i, j] == best[i, j - 1]:
-                j -= 1
-            elif best[i, j] == best[i - 1, j]:
-                i -= 1
-            else:
-                i, j = i - 1, j - 1
-                part.append((a + i, lo + j))
-        out += reversed(part)
+            top, under, got = sums[i - a], sums[i - a + 1], row(i)
+            while j < m:
+                k = j - start
+                if got[j] and top[k] == under[k + 1] + got[j]:
+                    out.append((i, j))
+                    j += 1
+                    break
+                if top[k] == under[k]:
+                    break
+                j += 1
     return out
 
 
+class Group:
+    """Nodes of different shapes that others are matched with; ``parts`` are those of a label, with their children numbered."""
+
+    #: Scores kept, and children in the table of a part.
+    KEPT, CHILDREN = 1 << 22, 1 << 18
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.rows, self.labels, self.made = nodes, {}, {}, {}
+        for n, x in enumerate(nodes):
+            self.labels.setdefault(x.label, []).append(n)
+
+    def parts(self, label: str) -> tuple[Group | None, list[tuple[np.ndarray, np.ndarray]]]:
+        """The children of the label's nodes, and nodes with about as many: their numbers, and those of their children (-1: none)."""
+        if label not in self.made:
+            own = sorted(self.labels.get(label, ()), key=lambda n: len(self.nodes[n].children))
+            shapes = {c.shape: c for n in own for c in self.nodes[n].children}
+            number, cut = {shape: k for k, shape in enumerate(shapes)}, []
+            for n in own:
+                width = len(self.nodes[n].children)
+                if not cut or width > 2 * cut[-1][0] + 8 or (len(cut[-1][1]) + 1) * width > self.CHILDREN:
+                    cut.append((width, []))
+                cut[-1][1].append(n)
+            parts = []
+            for _, found in cut:
+                at = np.full((len(found), len(self.nodes[found[-1]].children)), -1, np.int32)
+                for k, n in enumerate(found):
+                    at[k, :len(self.nodes[n].children)] = [number[c.shape] for c in self.nodes[n].children]
+                parts.append((np.array(found), at))
+            self.made[label] = Group(list(shapes.values())), parts
+        return self.made[label]
+
+
 def middle(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node], int, int]:
     """Both lists without the equal shapes they begin and end with, and how many those are."""
     head = tail = 0
@@ -287,14 +323,17 @@ def middle(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node], int, i
 class Matcher:
     """Simple tree matching of pages with a reference; equal shapes match node by node."""
 
-    #: Children lists whose product is larger are matched row by row in numpy.
+    #: Children lists whose product is larger are matched row by row in numpy. Neither number changes a result.
     CELLS = 40_000
-    #: With more pairs of different shapes than this, pairs count by their label and not by what is below them.
-    SHAPES = 1_000_000
+    #: With more pairs of different shapes than this, those of a node are settled together when they are needed, and not all kept.
+    SHAPES = 1 << 16
+    #: Groups of fewer nodes are settled one by one; so are nodes further down, and lists in that many others, which may be any number.
+    FEW, DEEP = 16, 20
 
     def __init__(self):
         self.memo: dict[tuple[int, int], int] = {}
         self.sizes: dict[int, int] = {}
+        self.level = 0
 
     def known(self, a: Node, b: Node) -> int | None:
         """Matched nodes of two subtrees, if that is known without looking at their children."""
@@ -312,7 +351,7 @@ class Matcher:
                 if below:
                     todo += below
                     continue
-                self.memo[x.shape, y.shape] = 1 + sum(self.known(p, q) for p, q in self.pairs(x, y))
+                self.memo[x.shape, y.shape] = 1 + sum(self.score(p, q) for p, q in self.pairs(x, y))
             todo.pop()
         return self.known(a, b)
 
@@ -320,7 +359,7 @@ class Matcher:
         """Pairs of children whose score ``pairs`` needs and that isn't known; one for each pair of shapes."""
         p, q, _, _ = middle(a.children, b.children)
         first, second = {c.shape: c for c in p}, {c.shape: c for c in q}
-        if len(p) * len(q) > self.CELLS and len(first) * len(second) > self.SHAPES:
+        if self.together(len(p) * len(q), first, second):
             return []
         return [(x, y) for x in first.values() for y in second.values() if self.known(x, y) is None]
 
@@ -348,19 +387,44 @@ class Matcher:
                     j += 1
         return out + (list(zip(x[-tail:], y[-tail:], strict=True)) if tail else [])
 
+    def together(self, cells: int, first: dict[int, Node], second: dict[int, Node]) -> bool:
+        return cells > self.CELLS and len(first) * len(second) > self.SHAPES and self.level < self.DEEP
+
     def long_pairs(self, p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
-        """As pairs, for long lists."""
+        """As pairs, for long lists: the same pairs, with a table of sums a part at a time."""
         first, second = {c.shape: c for c in p}, {c.shape: c for c in q}
-        if len(first) * len(second) > self.SHAPES:
-            label: dict[str, int] = {}
-            x, y = (np.array([label.setdefault(c.label, len(label)) for c in z]) for z in (p, q))
-            row = lambda i: (y == x[i]).astype(np.int64)
-        else:
-            table = np.array([[self.score(i, j) for j in second.values()] for i in first.values()], np.int64)
-            at, to = ({k: n for n, k in enumerate(z)} for z in (first, second))
-            x, y = np.array([at[c.shape] for c in p]), np.array([to[c.shape] for c in q])
-            row = lambda i: table[x[i], y]
-        return [(p[i], q[j]) for i, j in in_order(len(p), len(q), row)]
+        group, number = Group(list(second.values())), {shape: k for k, shape in enumerate(second)}
+        y, outer, together = np.array([number[c.shape] for c in q]), self.memo, self.together(len(p) * len(q), first, second)
+        if together:
+            self.memo = {}
+        self.level += 1
+        found = in_order(len(p), len(q), lambda i: self.against(p[i], group, 0 if together else self.DEEP)[y])
+        self.level -= 1
+        self.memo = outer
+        return [(p[i], q[j]) for i, j in found]
+
+    def against(self, x: Node, group: Group, depth: int) -> np.ndarray:
+        """Matched nodes of x and each of the group, as ``score`` has them."""
+        got = group.rows.pop(x.shape, None)
+        if got is None:
+            got = np.zeros(len(group.nodes), np.int64)
+            if depth >= self.DEEP or len(group.labels.get(x.label, ())) < self.FEW:
+                for n in group.labels.get(x.label, ()):
+                    got[n] = self.score(x, group.nodes[n])
+                if depth < self.DEEP and len(self.memo) > _Hosts.SCORES:
+                    self.memo.clear()
+            else:
+                inner, parts = group.parts(x.label)
+                for own, at in parts:
+                    best = np.zeros((at.shape[0], at.shape[1] + 1), np.int64)
+                    for c in x.children:
+                        best[:, 1:] = np.maximum(best[:, 1:], best[:, :-1] + np.append(self.against(c, inner, depth + 1), 0)[at])
+                        np.maximum.accumulate(best, axis=1, out=best)
+                    got[own] = 1 + best[:, -1]
+        group.rows[x.shape] = got
+        if len(group.rows) * len(group.nodes) > group.KEPT and len(group.rows) > 1:
+            del group.rows[next(iter(group.rows))]
+        return got
 
     def align(self, page: Node, reference: Node) -> Iterator[Node]:
         """Sets ``slot`` of the page's matched nodes to the reference's; yields them."""
