@@ -140,6 +140,16 @@ def test_components_equal_brute_force(spark):
     assert md.near_duplicates(messy.empty(spark)).count() == 0
 
 
+def test_few_pairs_are_few_tasks(spark):
+    """Spark may join partitions that a number given to repartition would keep apart."""
+    from tidemark.llm import minhash_dedup as md
+
+    texts = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(30 + k))) for k in range(3)], "rep long, text string")
+    links = md._links(spark.createDataFrame([(0, 1), (0, 2)], "p long, q long"), texts, 75)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(0, 1), (0, 2)]
+    assert "REPARTITION_BY_COL" in links._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" not in links._jdf.queryExecution().toString()
+
+
 def test_chunks_guarantee_the_signature_distance():
     from tidemark.llm import minhash_dedup as md
 

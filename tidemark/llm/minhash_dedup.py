@@ -164,8 +164,8 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     partners = dealt.join(texts.select(F.col("rep").alias("q"), "text"), "q").select("p", "salt", "q", "text")
     pivots = dealt.select("p", "salt").distinct().join(texts.select(F.col("rep").alias("p"), "text"), "p") \
         .select("p", "salt", F.lit(None).cast("long").alias("q"), "text")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pivots.union(partners).repartition(parts, "p", "salt") \
+    # No number of partitions: Spark joins those of a few pairs, which else are as many tasks for the driver to keep as for many.
+    return pivots.union(partners).repartition("p", "salt") \
         .sortWithinPartitions("p", "salt", F.col("q").asc_nulls_first()).mapInArrow(_confirm(percent), "a long, b long") \
         .distinct()
 
